@@ -52,13 +52,14 @@ _P6 = """
 
 _P4 = """
     WITH one AS (
-      SELECT path, snap_no, arg_max(hash, loaded_at) AS h,
-             arg_max((SELECT list(k || ':' || (frontmatter_json -> ('$."' || k || '"'))::VARCHAR ORDER BY k)::VARCHAR
-                      FROM unnest(json_keys(frontmatter_json)) t(k)), loaded_at)
-               FILTER (frontmatter_json IS NOT NULL) AS j0,
-             arg_max(coalesce(frontmatter_json, 'null'), loaded_at) AS raw
-      FROM file_snapshots WHERE path IS NOT NULL AND snap_no IS NOT NULL GROUP BY path, snap_no),
-    cur AS (SELECT path, snap_no, h, CASE WHEN raw <> 'null' THEN j0 END AS j FROM one)"""
+      SELECT path, snap_no, hash AS h, frontmatter_json AS f FROM file_snapshots
+      WHERE path IS NOT NULL AND snap_no IS NOT NULL
+      QUALIFY row_number() OVER (PARTITION BY path, snap_no ORDER BY loaded_at DESC, hash DESC) = 1),
+    cur AS (
+      SELECT path, snap_no, h, CASE WHEN f IS NOT NULL THEN coalesce(
+               (SELECT list(k || ':' || (f -> ('$."' || k || '"'))::VARCHAR ORDER BY k)::VARCHAR
+                FROM unnest(json_keys(f)) t(k)), '[]') END AS j
+      FROM one)"""
 
 SQL_P = {
     "p4_found": f"""{_P4}
