@@ -14,7 +14,7 @@ SPREAD = 100
 
 
 def members(keyed: DataFrame) -> DataFrame:
-    """Of (key, digest): (key, rep, copies) for keys whose digest has more than one key; ``rep`` is the smallest.
+    """Of (key, digest): (key, digest, rep, copies) for keys whose digest has more than one key; ``rep`` is the smallest.
 
     The counts are combined before the exchange, and digests that hold much of all rows are joined by broadcast.
     """
@@ -22,7 +22,7 @@ def members(keyed: DataFrame) -> DataFrame:
     classes = materialize(
         keyed.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
     )
-    return materialize(skew_safe_join(keyed, classes, "digest", "copies", keyed.count()).select("key", "rep", "copies"))
+    return materialize(skew_safe_join(keyed, classes, "digest", "copies", keyed.count()).select("key", "digest", "rep", "copies"))
 
 
 def spread(pairs: DataFrame, copies: DataFrame, most: int = SPREAD) -> DataFrame:

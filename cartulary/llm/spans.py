@@ -254,16 +254,17 @@ class SharedSpans:
         text = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("text"))
         self.all = text.filter("key IS NOT NULL")
         self.texts = self.all.filter(F.length("text") >= min_len)
-        self.copies = members(self.texts.select("key", F.unhex(F.md5("text")).alias("digest")))
-        extra = self.copies.filter("key <> rep").select("key")
-        self.single = self.texts.join(small_or_not(extra), "key", "left_anti")
+        digest = F.unhex(F.md5("text"))
+        self.copies = members(self.texts.select("key", digest.alias("digest")))
+        extra = self.copies.filter("key <> rep").select("key", "digest")
+        self.single = self.texts.withColumn("digest", digest).join(small_or_not(extra), ["key", "digest"], "left_anti")
         self.period, self.points = cover(min_len)
         self._spans: DataFrame | None = None
 
     def candidates(self) -> DataFrame:
         """Diagonals with equal anchors (``lo`` and ``hi``: first and last position in ``a``), and hot occurrences."""
         width = self.min_len - self.period + 1
-        blobs = self.single.mapInArrow(_post(self.period, self.points, width, self.buckets), _BLOB)
+        blobs = self.single.select("key", "text").mapInArrow(_post(self.period, self.points, width, self.buckets), _BLOB)
         return blobs.groupBy("bucket").applyInArrow(_match, _FOUND)
 
     def spans(self) -> DataFrame:
@@ -280,7 +281,7 @@ class SharedSpans:
         wanted = found.filter("NOT hot").select(F.explode(F.array("a", "b")).alias("key")).union(hot.select("key")).distinct()
         wanted = materialize(wanted)
         text = self.single.join(small_or_not(wanted), "key", "left_semi")
-        text = materialize(text.groupBy("key", F.md5("text").alias("m")).agg(F.first("text").alias("text")).drop("m"))
+        text = materialize(text.groupBy("key", "digest").agg(F.first("text").alias("text")).drop("digest"))
 
         start = F.greatest(F.lit(0), F.col("lo") - reach, -F.col("diag"))
         piece = lambda s: F.substring("text", (s + 1).cast("int"), (F.col("hi") + 2 * self.min_len - F.col("start")).cast("int"))
