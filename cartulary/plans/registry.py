@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.operators import references, snapshots
+from cartulary.plans import notes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,8 +75,8 @@ SQL_P = {
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_intervals": p4_intervals, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p4_found": p4_found, "p4_intervals": p4_intervals, "p6_found": p6_found, "p6_report": p6_report} | notes.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL_P)
+    return SQL_P | notes.SQL
