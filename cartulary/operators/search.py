@@ -44,7 +44,7 @@ def tokenize(query: str) -> list[Token]:
         value = plain if quoted is None else quoted
         if value.startswith("!"):
             negated, value = not negated, value[1:]
-        out.append(Token(term["field"], value, term["op"] == "=", negated))
+        out.append(Token(term["field"] or None, value, term["op"] == "=", negated))
         i = term.end()
 
 
