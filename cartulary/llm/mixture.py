@@ -136,17 +136,19 @@ class Mixture:
     def uses(self) -> DataFrame:
         """How often each document of a listed source is used: (doc_id, source, n_tokens, uses).
 
-        Of a length's parts by hash the first ones are taken whole; only one part is ranked.
+        Of a length's parts by hash the ones before ``edge`` are taken whole and ``edge`` itself up to ``rest``
+        documents, so only documents of that part are ranked. The joined side has one row per source and length.
         """
-        w = Window.partitionBy("source", "n_tokens").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        parts = self.lengths.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).join(self.plan, ["source", "n_tokens"])
-        parts = parts.select("source", "n_tokens", "part", "passes", F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), "n").alias("more"), "n")
-        parts = materialize(parts)
-        rows = self.docs.join(small_or_not(parts), ["source", "n_tokens", "part"])
-        whole = rows.filter("more = 0 OR more = n").withColumn("once", (F.col("more") > 0).cast("int"))
+        w = Window.partitionBy("source", "n_tokens").orderBy("part")
+        sums = self.lengths.withColumn("up_to", F.sum("n").over(w)).join(self.plan, ["source", "n_tokens"])
+        last = F.when(F.col("up_to") >= F.col("extra"), F.struct("part", (F.col("extra") - F.col("up_to") + F.col("n")).alias("rest")))
+        cuts = sums.groupBy("source", "n_tokens", "passes").agg(F.min(last).alias("cut"))
+        cuts = materialize(cuts.select("source", "n_tokens", "passes", F.col("cut.part").alias("edge"), F.col("cut.rest").alias("rest")))
+        rows = self.docs.join(small_or_not(cuts), ["source", "n_tokens"])
+        whole = rows.filter("part <> edge").withColumn("once", (F.col("part") < F.col("edge")).cast("int"))
         rank = Window.partitionBy("source", "n_tokens", "part").orderBy(F.xxhash64(F.lit(1), "doc_id"), "doc_id")
-        some = rows.filter("more > 0 AND more < n").withColumn("rank", F.row_number().over(rank))
-        some = some.withColumn("once", (F.col("rank") <= F.col("more")).cast("int")).drop("rank")
+        some = rows.filter("part = edge").withColumn("rank", F.row_number().over(rank))
+        some = some.withColumn("once", (F.col("rank") <= F.col("rest")).cast("int")).drop("rank")
         return whole.unionByName(some).select("doc_id", "source", "n_tokens", (F.col("passes") + F.col("once")).alias("uses"))
 
     def shares(self) -> DataFrame:
