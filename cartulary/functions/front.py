@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from cartulary.functions import text as T
 from cartulary.functions.paths import file_kind
+from cartulary.session import spread_small
 
 try:
     import yaml
@@ -153,7 +154,7 @@ def parse_files(files: DataFrame) -> DataFrame:
     and have no pairs. A null raw counts as an empty text; rows with a null path are left out.
     """
     raw, reserved = F.coalesce("raw", F.lit("")), F.col("kind") != "concept"
-    df = files.filter("path IS NOT NULL").select("path", raw.alias("raw")).withColumn("kind", file_kind("path"))
+    df = spread_small(files.filter("path IS NOT NULL").select("path", raw.alias("raw"))).withColumn("kind", file_kind("path"))
     df = df.withColumn("front", T.front_text(F.col("raw")))
     df = df.withColumn("f", parse_front(F.when(~reserved, F.col("front"))))
     blank = F.col("front") == ""

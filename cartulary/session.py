@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +28,26 @@ def session(app: str = "cartulary", **conf: str) -> SparkSession:
             **conf,
         }
     )
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers of a context, once, wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="cartulary-"), "cartulary-package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -90,3 +111,13 @@ def skew_safe_join(left: DataFrame, right: DataFrame, key: str, weight: str, tot
     light = right.filter(~hot)
     rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
     return first.unionByName(rest)
+
+
+def spread_small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """A table of at most ``most`` bytes, by the statistics of its plan, spread over all cores before work in Python.
+
+    Such a table comes in one or two partitions. Larger ones have enough of them and are left as they are, so nothing is
+    exchanged at scale.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
