@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm.arrays import LETTER, SPACE, Prefix, chunks, codes, kinds
+from cartulary.session import spread_small
 
 #: Pre-tokens longer than this many bytes go through a heap instead of a matrix (the same merges, O(n log n)).
 MATRIX_BYTES = 512
@@ -323,7 +324,7 @@ def encode(
 
     kind = df.schema[id_col].dataType.simpleString()
     two = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return two.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return spread_small(two).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def token_counts(
@@ -340,4 +341,4 @@ def token_counts(
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n)], [*keep, out])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{out}` bigint"])
-    return df.select(*keep, F.col(text_col)).mapInArrow(run, schema)
+    return spread_small(df.select(*keep, F.col(text_col))).mapInArrow(run, schema)

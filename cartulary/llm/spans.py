@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.arrays import Prefix, chunks, codes
 from cartulary.llm.copies import members, spread
-from cartulary.session import materialize, small_or_not
+from cartulary.session import materialize, small_or_not, spread_small
 
 #: Occurrences of one hash in a chunk, and in its bucket, up to which they are paired directly.
 HOT_CHUNK, HOT = 16, 64
@@ -259,21 +259,22 @@ class SharedSpans:
         extra = self.copies.filter("key <> rep").select("key", "digest")
         self.single = self.texts.withColumn("digest", digest).join(small_or_not(extra), ["key", "digest"], "left_anti")
         self.period, self.points = cover(min_len)
-        self._spans: DataFrame | None = None
+        self._parts: tuple[DataFrame, DataFrame] | None = None
 
     def candidates(self) -> DataFrame:
         """Diagonals with equal anchors (``lo`` and ``hi``: first and last position in ``a``), and hot occurrences."""
         width = self.min_len - self.period + 1
-        blobs = self.single.select("key", "text").mapInArrow(_post(self.period, self.points, width, self.buckets), _BLOB)
+        blobs = spread_small(self.single.select("key", "text")).mapInArrow(_post(self.period, self.points, width, self.buckets), _BLOB)
         return blobs.groupBy("bucket").applyInArrow(_match, _FOUND)
 
-    def spans(self) -> DataFrame:
-        """Maximal common spans of representatives: (a, start_a, b, start_b, length), a < b, positions from 0."""
-        if self._spans is None:
-            self._spans = materialize(self._find())
-        return self._spans
+    def _find(self) -> tuple[DataFrame, DataFrame]:
+        """Extended spans of the diagonals (a, start_a, b, start_b, length), and for hot anchors the whole windows that
+        stand in several texts (h, g, d, s); each is found once and kept as a table."""
+        if self._parts is None:
+            self._parts = self._extended()
+        return self._parts
 
-    def _find(self) -> DataFrame:
+    def _extended(self) -> tuple[DataFrame, DataFrame]:
         found = materialize(self.candidates())
         reach = self.period - 1
         diagonals = found.filter("NOT hot").groupBy("a", "b", "diag").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -302,7 +303,14 @@ class SharedSpans:
         )
         windows = materialize(windows)
         shared = windows.groupBy("h", "g").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x <> y").select("h", "g")
-        windows = windows.join(shared, ["h", "g"], "left_semi")
+        return materialize(direct), materialize(windows.join(shared, ["h", "g"], "left_semi"))
+
+    def spans(self) -> DataFrame:
+        """Maximal common spans of representatives: (a, start_a, b, start_b, length), a < b, positions from 0.
+
+        Spans found by hot windows are runs of such windows on one diagonal.
+        """
+        direct, windows = self._find()
         x = windows.select("h", "g", F.col("d").alias("a"), F.col("s").alias("sa"))
         y = windows.select("h", "g", F.col("d").alias("b"), F.col("s").alias("sb"))
         pairs = x.join(y, ["h", "g"]).filter("a < b").select("a", "b", (F.col("sb") - F.col("sa")).alias("diag"), "sa").distinct()
@@ -319,17 +327,20 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """Distinct pairs (a, b), a < b, of documents that share a span, copies spread as in ``copies.spread``."""
-        return spread(self.spans().select("a", "b").distinct(), self.copies)
+        direct, windows = self._find()
+        one = windows.select("h", "g", "d").distinct()
+        met = one.withColumnRenamed("d", "a").join(one.withColumnRenamed("d", "b"), ["h", "g"]).filter("a < b")
+        return spread(direct.select("a", "b").union(met.select("a", "b")).distinct(), self.copies)
 
     def coverage(self) -> DataFrame:
         """One row per document: (key, n_chars, shared_chars, shared_part), the part that also stands in others.
 
-        Overlapping spans count once. Null and empty texts have 0 characters and a null part.
+        Overlapping spans count once. Null and empty texts have 0 characters and a null part. Hot windows are counted
+        where they stand, without pairs.
         """
-        s = self.spans()
-        one = s.select(F.col("a").alias("key"), F.col("start_a").alias("s"), (F.col("start_a") + F.col("length")).alias("e")).union(
-            s.select("b", "start_b", F.col("start_b") + F.col("length"))
-        )
+        direct, windows = self._find()
+        ends = lambda k: direct.select(F.col(k).alias("key"), F.col(f"start_{k}").alias("s"), (F.col(f"start_{k}") + F.col("length")).alias("e"))
+        one = ends("a").union(ends("b")).union(windows.select("d", "s", F.col("s") + self.min_len))
         w = Window.partitionBy("key").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
         merged = one.distinct().withColumn("reached", F.coalesce(F.max("e").over(w), F.lit(0)))
         new = F.greatest(F.lit(0), F.col("e") - F.greatest("s", "reached"))
