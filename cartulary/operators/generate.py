@@ -9,6 +9,12 @@ from cartulary.functions import paths as P
 from cartulary.functions import text as T
 from cartulary.session import materialize
 
+# Texts of generated pages.
+ROOT_HEAD = '---\nokf_version: "0.1"\n---\n\n# Bundle\n\n'
+SUBFOLDERS = "# Subdirectorios\n\n"
+TAGS_HEAD = "# Tags\n\n"
+UNTYPED = "Concept"
+
 
 def _entry(target):
     title = F.coalesce(F.nullif("title", F.lit("")), P.concept_id(P.basename("path")))
@@ -18,7 +24,7 @@ def _entry(target):
 
 def index_groups(parsed: DataFrame) -> DataFrame:
     """Notes per folder and type: (dir, type, n); notes without a type are of type ``Concept``."""
-    kind = F.coalesce(F.nullif("type", F.lit("")), F.lit("Concept"))
+    kind = F.coalesce(F.nullif("type", F.lit("")), F.lit(UNTYPED))
     return parsed.filter("kind = 'concept'").groupBy(P.dir_of("path").alias("dir"), kind.alias("type")).agg(F.count_distinct("path").alias("n"))
 
 
@@ -37,14 +43,14 @@ def index_pages(parsed: DataFrame) -> DataFrame:
 
     Lines are put in order within each page by ``listagg``; a page is as large as its folder.
     """
-    kind = F.coalesce(F.nullif("type", F.lit("")), F.lit("Concept"))
+    kind = F.coalesce(F.nullif("type", F.lit("")), F.lit(UNTYPED))
     notes = parsed.filter("kind = 'concept'").dropDuplicates(["path"]).select(P.dir_of("path").alias("dir"), kind.alias("kind"), "path", _entry(P.basename("path")).alias("line"))
     by_type = notes.groupBy("dir", "kind").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY path)").alias("lines"))
     part = by_type.select("dir", F.lit(0).alias("at"), F.col("kind").alias("name"), F.concat(F.lit("# "), "kind", F.lit("\n\n"), "lines", F.lit("\n\n")).alias("text"))
     subs = subfolders(parsed).groupBy("dir").agg(F.expr("listagg(concat('* [', name, '](', name, ')\n'), '') WITHIN GROUP (ORDER BY name)").alias("lines"))
-    part = part.unionByName(subs.select("dir", F.lit(1).alias("at"), F.lit("").alias("name"), F.concat(F.lit("# Subdirectorios\n\n"), "lines", F.lit("\n")).alias("text")))
+    part = part.unionByName(subs.select("dir", F.lit(1).alias("at"), F.lit("").alias("name"), F.concat(F.lit(SUBFOLDERS), "lines", F.lit("\n")).alias("text")))
     pages = part.groupBy("dir").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "name", "text"))), lambda x: x["text"]), "").alias("text"))
-    head = F.when(F.col("dir") == "", '---\nokf_version: "0.1"\n---\n\n# Bundle\n\n').otherwise(F.concat(F.lit("# "), F.regexp_replace("dir", "/+$", ""), F.lit("\n\n")))
+    head = F.when(F.col("dir") == "", ROOT_HEAD).otherwise(F.concat(F.lit("# "), F.regexp_replace("dir", "/+$", ""), F.lit("\n\n")))
     return pages.select(F.concat("dir", F.lit(P.INDEX)).alias("path"), F.concat(F.regexp_replace(F.concat(head, "text"), r"\n+\z", ""), F.lit("\n")).alias("content"))
 
 
@@ -95,7 +101,7 @@ def tag_pages(parsed: DataFrame) -> DataFrame:
     row = F.concat(F.lit("* ["), "tag", F.lit("]("), "slug", F.lit("/) - "), "n", F.when(F.col("n") == 1, " concept").otherwise(" concepts"))
     ordered = lines.select(F.expr("collate(tag, 'UNICODE_CI_AI')").alias("k"), "tag", row.alias("row"))
     root = ordered.groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "tag", "row"))), lambda x: x["row"]), "\n").alias("rows"))
-    return own.unionByName(root.filter("rows <> ''").select(F.lit("tags/index.md").alias("path"), F.format_string("# Tags\n\n%s\n", "rows").alias("content")))
+    return own.unionByName(root.filter("rows <> ''").select(F.lit("tags/index.md").alias("path"), F.format_string(TAGS_HEAD + "%s\n", "rows").alias("content")))
 
 
 def stale_pages(files: DataFrame, pages: DataFrame) -> DataFrame:

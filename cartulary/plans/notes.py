@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.functions import paths as P
 from cartulary.functions import text as T
 from cartulary.functions.front import parse_files
+from cartulary.functions.headings import parse_headings
 from cartulary.operators import checks as C
 from cartulary.operators import generate as G
-from cartulary.operators import graph
+from cartulary.operators import graph, history, plan
 from cartulary.operators import links as L
 from cartulary.operators import revisions as R
 from cartulary.operators import schema as S
 from cartulary.operators import search
+from cartulary.session import shared_dir
+from cartulary.sources import corpus, sinks
+from cartulary.streaming.feed import Feed
 
 GLOSSARY = "comun/glosario/terminos.md"
 
@@ -563,3 +569,78 @@ def event_final_state(t):
 @query(f"SELECT user_id FROM ({_EVENT}) WHERE event_type = 'error'")
 def event_removed(t):
     return R.final_state(table(t.spark, t.d, "events"), "user_id", ["ts", "event_id"], "event_type").filter("event_type = 'error'").select("user_id")
+
+
+@query(
+    _WITH + """SELECT DISTINCT path, trim(tag, E' \\t\\r\\n' || chr(160)) AS tag FROM (SELECT path, unnest(CASE json_type(fm, '$.tags') WHEN 'ARRAY' THEN (fm ->> '$.tags[*]')::VARCHAR[]
+            WHEN 'NULL' THEN [] ELSE [fm ->> '$.tags'] END) AS tag FROM ok WHERE json_type(fm, '$.tags') IS NOT NULL) WHERE trim(tag, E' \\t\\r\\n' || chr(160)) <> ''"""
+)
+def note_tags(t):
+    return G.note_tags(t.parsed)
+
+
+@query()
+def headings(t):
+    own = t.rows.select("path", F.explode(parse_headings(F.col("body"))).alias("h"))
+    return own.select("path", "h.*")
+
+
+@query()
+def sarif_results(t):
+    return sinks.sarif(t.checks)
+
+
+@query("SELECT 'index.md' AS src, 'c0000.md' AS dst UNION ALL SELECT format('c{:04d}.md', i), format('c{:04d}.md', (i + 1) % 1000) FROM range(1000) r(i)")
+def synthetic_links(t):
+    return L.out_links(parse_files(corpus.synthetic(t.spark, 1000))).select("src", "dst")
+
+
+@query(
+    f"WITH {_F}, {_OUT} SELECT src AS path, 'write' AS op FROM ol WHERE dst = '{GLOSSARY}' UNION ALL SELECT '{GLOSSARY}', 'delete' UNION ALL SELECT 'comun/moved.md', 'write'"
+)
+def plan_move(t):
+    planner = plan.Planner(t.rows.select("path", "raw"))
+    return planner.mutation([{"op": "move", "path": GLOSSARY, "to": "comun/moved.md"}]).select("path", "op")
+
+
+def _snapshot(t, n: int) -> DataFrame:
+    rows = table(t.spark, t.d, "file_snapshots").filter(F.col("snap_no") == n)
+    last = R.final_state(rows, "path", ["loaded_at", "hash"], "frontmatter_json")
+    return last.select("path", F.get_json_object("frontmatter_json", "$.status").alias("status"))
+
+
+_STATUS = """(SELECT path, coalesce(frontmatter_json ->> '$.status', '') AS status FROM file_snapshots WHERE snap_no = {0} AND path IS NOT NULL
+              QUALIFY row_number() OVER (PARTITION BY path ORDER BY loaded_at DESC, hash DESC NULLS LAST) = 1)"""
+
+
+@query(f"SELECT path, a.status AS before, b.status AS after FROM {_STATUS.format(4)} a JOIN {_STATUS.format(5)} b USING (path) WHERE a.status <> b.status")
+def status_changes(t):
+    return history.status_changes(_snapshot(t, 4), _snapshot(t, 5))
+
+
+@query(
+    """SELECT s.snap_no AS version, count(DISTINCT path) FILTER (bad) AS hard_fail, 0::BIGINT AS warn_count, count(DISTINCT path) FILTER (bad) = 0 AS conform
+       FROM snapshots s LEFT JOIN (SELECT snap_no, path, NOT regexp_matches(path, '(^|/)(index|log)\\.md$') AND coalesce(frontmatter_json ->> '$.type', '') = '' AS bad
+         FROM file_snapshots WHERE path IS NOT NULL) f ON f.snap_no = s.snap_no GROUP BY s.snap_no"""
+)
+def snapshot_conformance(t):
+    rows = table(t.spark, t.d, "file_snapshots").filter("path IS NOT NULL").withColumnRenamed("snap_no", "version")
+    untyped = F.coalesce(F.get_json_object("frontmatter_json", "$.type"), F.lit("")) == ""
+    bad = rows.filter(~P.is_reserved("path") & untyped).select("version", "path", F.lit("err").alias("level"))
+    return history.conformance(bad, table(t.spark, t.d, "snapshots").select(F.col("snap_no").alias("version")))
+
+
+@query(
+    """SELECT format('user/u{}.md', user_id) AS path, event_type AS raw FROM (SELECT user_id, event_type FROM events WHERE user_id IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'"""
+)
+def event_stream_state(t):
+    """The change feed over the events as a stream: every event writes its user's page, an error removes it."""
+    feed = Feed(t.spark, f"{shared_dir(t.spark)}/cartulary-feed-{uuid.uuid4().hex}")
+    events = table(t.spark, t.d, "events")
+    op = F.when(F.col("event_type") == "error", "remove").otherwise("upsert")
+    path = F.format_string("user/u%d.md", "user_id")
+    log = t.spark.readStream.schema(events.schema).parquet(f"{t.d}/events.parquet*").filter("user_id IS NOT NULL")
+    changes = log.select(F.col("event_id").alias("seq"), path.alias("path"), op.alias("op"), F.col("event_type").alias("raw"))
+    feed.follow(changes, once=True).awaitTermination()
+    return feed.state().select("path", "raw")

@@ -106,12 +106,15 @@ class Feed:
         at = [(p, batch) for p in range(PARTS) if fs.exists(path(f"{self.folder}/state/v{batch}/p={p}"))]
         self.spark.createDataFrame(at, "part int, version bigint").coalesce(1).write.mode("overwrite").json(f"{self.folder}/versions/batch-{batch}")
 
-    def start(self, log: str, every: str = "250 milliseconds", once: bool = False) -> StreamingQuery:
-        """Follows a folder of JSON changes. ``once``: what is there now, then ends."""
-        changes = self.spark.readStream.schema(CHANGES).json(log)
+    def follow(self, changes: DataFrame, every: str = "250 milliseconds", once: bool = False) -> StreamingQuery:
+        """Applies a stream of changes (seq, path, op, raw). ``once``: what is there now, then ends."""
         writer = changes.writeStream.option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(lambda df, n: self.apply(df, n + 1))
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
+    def start(self, log: str, every: str = "250 milliseconds", once: bool = False) -> StreamingQuery:
+        """Follows a folder of JSON changes."""
+        return self.follow(self.spark.readStream.schema(CHANGES).json(log), every, once)
+
 
 def reconcile(state: DataFrame, files: DataFrame) -> DataFrame:
     """Changes that bring a state to a whole corpus: (path, op, raw)."""

@@ -15,7 +15,7 @@ from cartulary.functions.front import build_raw, parse, parse_files
 from cartulary.operators import checks as C
 from cartulary.operators import diff as D
 from cartulary.operators import generate as G
-from cartulary.operators import graph, plan, references, search, snapshots
+from cartulary.operators import graph, history, plan, references, search, snapshots
 from cartulary.operators import links as L
 from cartulary.operators import schema as S
 from cartulary.plans.facade import Workspace
@@ -388,3 +388,39 @@ def test_feed_as_a_stream(spark, tmp_path):
     feed.start(str(log), once=True).awaitTermination()
     assert [(r.path, r.raw) for r in feed.state().collect()] == [("a.md", "2")]
     assert sorted((r.path, r.event) for r in feed.events().collect()) == [("a.md", "changed"), ("b.md", "changed"), ("b.md", "removed")]
+
+
+def test_history(spark):
+    checks = spark.createDataFrame([(1, "a", "err"), (1, "a", "err"), (1, "b", "warn"), (2, "a", "warn")], "version int, path string, level string")
+    c = history.conformance(checks, spark.createDataFrame([(1,), (2,), (3,)], "version int"))
+    assert sorted(map(tuple, c.collect())) == [(1, 1, 1, False), (2, 0, 1, True), (3, 0, 0, True)]
+    assert history.last_conforming(c).first().version == 3 and history.last_conforming(c.limit(0)).first().version is None
+    commits = spark.createDataFrame([("c0", None), ("c1", "c0"), ("x1", "c1"), ("x2", "x1"), ("y1", "c1")], "id string, parent string")
+    assert history.ahead_behind(commits, "x2", "y1") == (2, 1)
+    receipts = spark.createDataFrame([(f"r{i}", 1000 + i) for i in range(6)], "name string, mtime bigint")
+    assert paths(history.expired(receipts, 1010, most=3), "name") == ["r0", "r1", "r2"] and history.expired(receipts, 1010, seconds=7).count() == 3
+
+
+def test_external_references(spark):
+    p = parse_files(corpus_of(spark, a="---\ntype: t\nimplemented_by: [src/x.py, src/none.py, other/y.py]\nverified_by: srcs/z.py\n---\n"))
+    there = spark.createDataFrame([("src/x.py",), ("other/y.py",), ("srcs/z.py",)], "path string")
+    assert sorted(r.msg for r in S.external_references(p, there, ["src"]).collect()) == ["Not found: other/y.py", "Not found: src/none.py", "Not found: srcs/z.py"]
+
+
+def test_sources_from_tables(spark):
+    df = spark.createDataFrame([("a//b.md", "1", 1), ("a/b.md", "2", 1), ("/x.md", "3", 1), (None, "4", 2), ("c.md", None, 2)], "path string, raw string, version int")
+    assert [tuple(r) for r in corpus.from_table(df).collect()] == [("a/b.md", "2")]
+    assert corpus.at_version(df, 2).columns == ["path", "raw"] and corpus.at_version(df, 2).count() == 2
+    lines = ["build/", "*.tmp.md", "/top.md", "!keep.tmp.md", "# x", ""]
+    names = {"build/a.md": True, "x/build/a.md": True, "a.tmp.md": True, "keep.tmp.md": False, "top.md": True, "d/top.md": False, "builds/a.md": False}
+    assert one(spark, *(corpus.ignored(F.lit(n), lines) for n in names)) == tuple(names.values())
+
+
+def test_effects_of_mutations(spark, tmp_path):
+    now = corpus_of(spark, a="1", b="2")
+    m = spark.createDataFrame([("a.md", "write", "1"), ("b.md", "write", "3"), ("n.md", "write", ""), ("none.md", "delete", None)], plan.MUTATION)
+    assert {r.path: r.effect for r in sinks.changes(now, m).collect()} == {"a.md": "unchanged", "b.md": "written", "n.md": "written", "none.md": "unchanged"}
+    assert sinks.apply(tmp_path, now, m) == {"written": 2, "removed": 0, "unchanged": 2} and (tmp_path / "b.md").read_text() == "3"
+    with pytest.raises(ValueError):
+        sinks.apply(tmp_path, now, spark.createDataFrame([("../x.md", "write", "")], plan.MUTATION))
+    assert json.loads(sinks.as_json(now.filter("path = 'a.md'")).first().json) == {"path": "a.md", "raw": "1"}
