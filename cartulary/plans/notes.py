@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -281,9 +282,14 @@ def check_page(t):
             (SELECT count(*) FROM orph) AS orphans, (SELECT count(*) FROM ({_DANGLING})) AS dangling"""
 )
 def workspace_status(t):
-    one = lambda df, n: df.agg(F.count("*").alias(n))
-    out = one(t.concepts, "concepts").crossJoin(one(t.links.filter("dst IS NOT NULL").select("src", "dst").distinct(), "links"))
-    return out.crossJoin(one(L.orphans(t.links, t.rows), "orphans")).crossJoin(one(L.dangling(t.links, t.rows), "dangling"))
+    counted = {
+        "concepts": t.concepts,
+        "links": t.links.filter("dst IS NOT NULL").select("src", "dst").distinct(),
+        "orphans": L.orphans(t.links, t.rows),
+        "dangling": L.dangling(t.links, t.rows),
+    }
+    rows = [df.agg(F.count("*").alias("n")).withColumn("what", F.lit(name)) for name, df in counted.items()]
+    return reduce(DataFrame.unionByName, rows).agg(*(F.sum(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in counted))
 
 
 # --- the search language -------------------------------------------------------------------------------------------
