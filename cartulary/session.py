@@ -113,7 +113,7 @@ def skew_safe_join(left: DataFrame, right: DataFrame, key: str, weight: str, tot
     return first.unionByName(rest)
 
 
-def spread_small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+def spread_small(df: DataFrame, most: int = 4 << 20) -> DataFrame:
     """A table of at most ``most`` bytes, by the statistics of its plan, spread over all cores before work in Python.
 
     Such a table comes in one or two partitions. Larger ones have enough of them and are left as they are, so nothing is
