@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Most rows that are ever broadcast after counting them.
 BROADCAST_ROWS = 1_000_000
+#: Most bytes, by the statistics of its plan (for a written table its files), of what is broadcast after counting.
+BROADCAST_BYTES = 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -89,12 +91,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it was counted to have at most ``rows`` rows, else as it is.
+def plan_bytes(df: DataFrame) -> int:
+    """Size that the optimizer expects: of a written table that of its files, else an estimate on the safe side."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is at most ``most`` bytes and was counted to have at most ``rows`` rows, else as
+    it is, to be joined by an exchange.
 
     ``df`` should be materialised and narrow; the count stops at ``rows`` + 1.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if plan_bytes(df) <= most and df.limit(rows + 1).count() <= rows else df
 
 
 def skew_safe_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
@@ -119,5 +127,4 @@ def spread_small(df: DataFrame, most: int = 4 << 20) -> DataFrame:
     Such a table comes in one or two partitions. Larger ones have enough of them and are left as they are, so nothing is
     exchanged at scale.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if plan_bytes(df) <= most else df
