@@ -13,6 +13,7 @@ from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cartulary.session import materialize, small_or_not
 
@@ -87,8 +88,7 @@ def resolve(used: DataFrame, lists: DataFrame) -> DataFrame:
     entry with the fewest edits wins if these are at most 40 % of its folded length; on equal numbers the smaller.
     """
     spark = used.sparkSession
-    fold = fold_table(spark)
-    forms = materialize(spark.sql(FOLDED, values=used.select("v").union(lists.selectExpr("entry AS v")), fold=small_or_not(fold)))
+    forms = materialize(spark.sql(FOLDED, values=used.select("v").union(lists.selectExpr("entry AS v")), fold=F.broadcast(fold_table(spark))))
     segments = materialize(spark.sql(SEGMENTS, lists=lists, forms=forms))
     words = materialize(spark.sql(DIRTY, used=used, forms=forms, lists=lists))
     near = materialize(spark.sql(NEAREST, words=words, segments=small_or_not(segments)))
