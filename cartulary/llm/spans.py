@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartulary.llm.arrays import Prefix, chunks, codes
-from cartulary.llm.copies import members, spread
+from cartulary.llm.copies import SPREAD, members, spread
 from cartulary.session import materialize, small_or_not, spread_small
 
 #: Occurrences of one hash in a chunk, and in its bucket, up to which they are paired directly.
@@ -238,6 +238,35 @@ def _windows(min_len: int, reach: int):
     return run
 
 
+def _within(period: int, points: tuple[int, ...], min_len: int):
+    """Maximal spans that stand at two positions of one text: (digest, s, t, length), s < t."""
+    width = min_len - period + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for digest, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                flat, _ = codes([t])
+                h, _, p = _anchors(np.zeros(1, np.int64), np.zeros(1, np.int64), [t], period, np.array(points), width)
+                order = np.argsort(h, kind="stable")
+                h, p = h[order], p[order]
+                apart = np.zeros(len(t), bool)
+                begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                for i, j in zip(begin.tolist(), np.append(begin[1:], len(h)).tolist(), strict=True):
+                    for k in range(i, j - 1):
+                        apart[p[k + 1 : j] - p[k]] = True
+                for d in np.flatnonzero(apart).tolist():
+                    same = flat[:-d] == flat[d:]
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+                    out += [(digest, i, i + d, j - i) for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if j - i >= min_len]
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), *[pa.int64()] * 3), strict=True)], ["digest", "s", "t", "length"]
+            )
+
+    return run
+
+
 class SharedSpans:
     """Spans of at least ``min_len`` characters that stand verbatim in different documents.
 
@@ -306,9 +335,9 @@ class SharedSpans:
         return materialize(direct), materialize(windows.join(shared, ["h", "g"], "left_semi"))
 
     def spans(self) -> DataFrame:
-        """Maximal common spans of representatives: (a, start_a, b, start_b, length), a < b, positions from 0.
+        """Maximal common spans of different documents: (a, start_a, b, start_b, length), a < b, positions from 0.
 
-        Spans found by hot windows are runs of such windows on one diagonal.
+        Spans found by hot windows are runs of such windows on one diagonal. Copies are spread as in ``copies.spread``.
         """
         direct, windows = self._find()
         x = windows.select("h", "g", F.col("d").alias("a"), F.col("s").alias("sa"))
@@ -323,7 +352,34 @@ class SharedSpans:
         by_window = runs.select(
             "a", "start_a", "b", (F.col("start_a") + F.col("diag")).alias("start_b"), (F.col("last") - F.col("start_a") + self.min_len).alias("length")
         )
-        return direct.unionByName(by_window).distinct()
+        return self._spread(direct.unionByName(by_window).distinct())
+
+    def _spread(self, spans: DataFrame) -> DataFrame:
+        """Spans of representatives as those of all members, with the spans within classes."""
+        small = self.copies.filter(F.col("copies") <= SPREAD)
+        out = spans
+        for side in ("a", "b"):
+            own = small.select(F.col("rep").alias(side), F.col("key").alias("member"))
+            out = out.join(own, side, "left").withColumn(side, F.coalesce("member", side)).drop("member")
+        x, y = (small.select("digest", F.col("key").alias(k)) for k in "ab")
+        stars = self.copies.filter((F.col("copies") > SPREAD) & (F.col("key") != F.col("rep"))).select("digest", F.col("rep").alias("a"), F.col("key").alias("b"))
+        met = x.join(y, "digest").filter("a < b").unionByName(stars)
+        first = self.copies.filter("key = rep").select("key", "digest")
+        text = self.texts.withColumn("digest", F.unhex(F.md5("text"))).join(small_or_not(first), ["key", "digest"], "left_semi").select("digest", "text")
+        text = materialize(text.dropDuplicates(["digest"]))
+        whole = text.select("digest", F.lit(0).cast("bigint").alias("s"), F.lit(0).cast("bigint").alias("t"), F.length("text").cast("bigint").alias("length"))
+        again = materialize(spread_small(text).mapInArrow(_within(self.period, self.points, self.min_len), "digest binary, s bigint, t bigint, length bigint"))
+        own = whole.union(again).union(again.select("digest", "t", "s", "length"))
+        within = met.join(own, "digest").select("a", F.col("s").alias("start_a"), "b", F.col("t").alias("start_b"), "length")
+        ordered = lambda p, q: F.when(F.col("a") < F.col("b"), F.col(p)).otherwise(F.col(q))
+        return (
+            out.filter("a <> b")
+            .select(
+                F.least("a", "b").alias("a"), ordered("start_a", "start_b").alias("start_a"), F.greatest("a", "b").alias("b"), ordered("start_b", "start_a").alias("start_b"), "length"
+            )
+            .unionByName(within)
+            .distinct()
+        )
 
     def pairs(self) -> DataFrame:
         """Distinct pairs (a, b), a < b, of documents that share a span, copies spread as in ``copies.spread``."""

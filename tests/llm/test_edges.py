@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns of the llm operators."""
 
+import random
+import re
 import unicodedata
 
 import pytest
@@ -148,6 +150,34 @@ def test_shared_spans(spark, monkeypatch, hot):
     assert empty.pairs().count() == empty.coverage().count() == 0
 
 
+def maximal_spans(docs, least=200):
+    out = set()
+    for (i, x), (j, y) in ((p, q) for p in docs.items() for q in docs.items() if p[0] < q[0]):
+        for diag in range(least - len(x), len(y) - least + 1):
+            lo, hi = max(0, -diag), min(len(x), len(y) - diag)
+            same = "".join("1" if x[k] == y[k + diag] else "0" for k in range(lo, hi))
+            out |= {(i, lo + m.start(), j, lo + m.start() + diag, m.end() - m.start()) for m in re.finditer("1{%d,}" % least, same)}
+    return out
+
+
+@pytest.mark.parametrize("most", [2, 100])
+def test_spans_of_copies(spark, monkeypatch, most):
+    monkeypatch.setattr(spans, "SPREAD", most)
+    rnd = random.Random(7)
+    text = lambda n: "".join(rnd.choice("abcdefgh 漢😀") for _ in range(n))
+    p, alone, twice = text(230), text(300), text(210)
+    own, other = text(40) + p + text(30), text(11) + p
+    # 2 and 3 are copies alike to nothing else, 4, 6 and 9 share a passage with 5, 7 and 8 repeat one within
+    docs = {2: alone, 3: alone, 4: own, 6: own, 9: own, 5: other, 7: twice + "x" + twice, 8: twice + "x" + twice, 10: "a" * 202, 11: "a" * 202}
+    s = SharedSpans(clashing(spark.createDataFrame([*docs.items(), (2, alone)], "doc_id bigint, text string")), buckets=5).spans()
+    assert s.columns == ["a", "start_a", "b", "start_b", "length"]
+    true = maximal_spans(docs)
+    if most == 2:  # the class of three is a star
+        true = {r for r in true if (r[0], r[2]) in {(2, 3), (4, 5), (4, 6), (4, 9), (7, 8), (10, 11)}}
+    got = [tuple(r) for r in s.collect()]
+    assert (7, 0, 8, 211, 210) in true and (7, 211, 8, 0, 210) in true and len(got) == len(set(got)) and set(got) == true
+
+
 def test_difference_cover_brings_any_two_positions_together():
     for n in (20, 60, 200, 1000):
         period, points = spans.cover(n)
