@@ -25,9 +25,10 @@ def members(keyed: DataFrame) -> DataFrame:
     return materialize(skew_safe_join(keyed, classes, "digest", "copies", keyed.count()).select("key", "digest", "rep", "copies"))
 
 
-def spread(pairs: DataFrame, copies: DataFrame, most: int = SPREAD) -> DataFrame:
-    """Pairs of representatives (a, b) as distinct pairs (a, b) of members, a < b, with the pairs within classes."""
-    small = copies.filter(F.col("copies") <= most)
+def spread(pairs: DataFrame, copies: DataFrame, most: int | None = SPREAD) -> DataFrame:
+    """Pairs of representatives (a, b) as distinct pairs (a, b) of members, a < b, with the pairs within classes; all of
+    them with ``most`` None, else as said at ``SPREAD``."""
+    small = copies if most is None else copies.filter(F.col("copies") <= most)
     out = pairs.select("a", "b")
     for side in ("a", "b"):
         own = small.select(F.col("rep").alias(side), F.col("key").alias("member"))
@@ -35,8 +36,8 @@ def spread(pairs: DataFrame, copies: DataFrame, most: int = SPREAD) -> DataFrame
         out = out.join(own, side, "left").select(F.coalesce("member", side).alias(side), other)
     x, y = (small.select(F.col("key").alias(k), "rep") for k in "ab")
     within = x.join(y, "rep").filter("a < b").select("a", "b")
-    stars = copies.filter((F.col("copies") > most) & (F.col("key") != F.col("rep"))).select(
-        F.col("rep").alias("a"), F.col("key").alias("b")
-    )
-    both = out.unionByName(within).unionByName(stars)
+    both = out.unionByName(within)
+    if most is not None:
+        stars = copies.filter((F.col("copies") > most) & (F.col("key") != F.col("rep")))
+        both = both.unionByName(stars.select(F.col("rep").alias("a"), F.col("key").alias("b")))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

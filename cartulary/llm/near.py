@@ -72,7 +72,7 @@ def _signer(n: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
-            keep, digests, ids, signs = [], [], [], []
+            keep, exact, digests, ids, signs = [], [], [], [], []
             for a, b in chunks(list(map(len, texts)), CHUNK):
                 for i, x in enumerate(_sequence_hashes(texts[a:b], n, least), a):
                     if x is None:
@@ -85,17 +85,18 @@ def _signer(n: int, least: int):
                     for row in low.reshape(ROWS, COORDINATES):
                         value = mix(value * np.uint64(0x2545F4914F6CDD1D) + row)
                     digest = hashlib.md5(x.tobytes()).digest()
-                    keep.append(i), digests.append(digest), ids.append(int.from_bytes(digest[:8], "little", signed=True))
+                    keep.append(i), exact.append(hashlib.md5(texts[i].encode("utf-8", "surrogatepass")).digest()), digests.append(digest), ids.append(int.from_bytes(digest[:8], "little", signed=True))
                     signs.append((value >> np.uint64(32)).astype(np.uint32).view(np.int32))
             flat = np.concatenate(signs) if signs else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     keys.take(pa.array(keep, pa.int64())),
+                    pa.array(exact, pa.binary()),
                     pa.array(digests, pa.binary()),
                     pa.array(ids, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * COORDINATES), pa.array(flat)),
                 ],
-                ["key", "digest", "id", "sig"],
+                ["key", "exact", "digest", "id", "sig"],
             )
 
     return run
@@ -130,7 +131,8 @@ class NearDuplicates:
 
     ``df`` needs a string ``key_col``; the text is ``parts`` joined by line breaks with nulls as empty. Rows with a
     null key, and texts of fewer than ``least_words`` words, take no part. Texts with the same set of sequences are
-    collapsed to the smallest key (``copies``). Repeated rows count once. A key with several texts is alike to
+    collapsed to the smallest key for the search and all given back in full; only exact copies of a text stand for one
+    another (``copies``). Repeated rows count once. A key with several texts is alike to
     whatever any of them is alike to. Other columns are not read; an empty table gives no rows.
     """
 
@@ -138,10 +140,15 @@ class NearDuplicates:
         self.n, self.least = n, least
         text = F.concat_ws("\n", *(F.coalesce(F.col(p), F.lit("")) for p in parts))
         self.texts = df.filter(F.col(key_col).isNotNull()).select(F.col(key_col).cast("string").alias("key"), text.alias("text"))
-        schema = "key string, digest binary, id bigint, sig array<int>"
+        schema = "key string, exact binary, digest binary, id bigint, sig array<int>"
         self.signed = materialize(spread_small(self.texts).mapInArrow(_signer(n, least_words), schema))
-        self.copies = members(self.signed.select("key", "digest"))
-        extra = self.copies.filter("key <> rep").select("key", "digest")
+        self.copies = members(self.signed.select("key", F.col("exact").alias("digest")))
+        alike = members(self.signed.select("key", "digest"))
+        # of each text, its first key, and the first key of all texts with the same sequences
+        later = self.copies.filter("key <> rep").select("key", F.col("digest").alias("exact"))
+        firsts = self.signed.select("key", "exact", "digest").join(small_or_not(later), ["key", "exact"], "left_anti")
+        self.forms = materialize(firsts.join(small_or_not(alike.select("key", "digest", "rep")), ["key", "digest"]).select("key", "digest", "rep").distinct())
+        extra = alike.filter("key <> rep").select("key", "digest")
         self.single = self.signed.join(small_or_not(extra), ["key", "digest"], "left_anti").dropDuplicates(["digest"])
         self._pairs: DataFrame | None = None
 
@@ -200,28 +207,40 @@ class NearDuplicates:
         return self._pairs
 
     def found(self) -> DataFrame:
-        """Distinct pairs (a, b) of keys, a < b, copies spread as in ``copies.spread``."""
-        return spread(self.pairs(), self.copies)
+        """Distinct pairs (a, b) of keys, a < b: of all different texts, exact copies spread as in ``copies.spread``."""
+        return spread(spread(self.pairs(), self.forms, most=None), self.copies)
 
     def groups(self) -> DataFrame:
-        """One row per key that takes part: (key, group_id, copies, links).
+        """One row per key that takes part: (key, rep, group_id, copies, links).
 
-        ``group_id`` is the smallest key of the connected group, ``copies`` the size of the key's class of texts with
-        the same sequences, ``links`` the number of other classes that this one is alike to.
+        ``rep`` is the smallest key with the same text, ``copies`` the number of keys with it, ``group_id`` the smallest
+        key of the connected group, and ``links`` the number of other texts that this one is alike to.
         """
         from cartulary.operators.graph import components
 
         pairs = self.pairs()
-        links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-        group = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"node": "rep", "component": "group_id"})
-        rep = self.copies.select("key", "rep", "copies")
+        group = components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"node": "first", "component": "group_id"})
+        forms = self.forms.groupBy("rep").agg(F.count_distinct("key").alias("forms")).withColumnRenamed("rep", "first")
+        # a text is alike to all with its own sequences and to all forms of those that were measured
+        both = pairs.select(F.col("a").alias("first"), F.col("b").alias("other")).union(pairs.select("b", "a"))
+        links = (
+            both.join(forms.withColumnsRenamed({"first": "other", "forms": "there"}), "other", "left")
+            .groupBy("first")
+            .agg(F.sum(F.coalesce("there", F.lit(1))).alias("links"))
+        )
+        first = self.forms.select(F.col("key").alias("rep"), F.col("rep").alias("first"))
         return (
             self.signed.select("key")
             .distinct()
-            .join(rep, "key", "left")
+            .join(self.copies.select("key", "rep", "copies"), "key", "left")
             .select("key", F.coalesce("rep", "key").alias("rep"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"))
-            .join(links, "rep", "left")
-            .join(group, "rep", "left")
-            .select("key", F.coalesce("group_id", "rep").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-        )
-
+            .join(first, "rep", "left")
+            .withColumn("first", F.coalesce("first", "rep"))
+            .join(forms, "first", "left")
+            .join(links, "first", "left")
+            .join(group, "first", "left")
+            .select(
+                "key", "rep", F.coalesce("group_id", "first").alias("group_id"), "copies",
+                (F.coalesce("links", F.lit(0)) + F.coalesce("forms", F.lit(1)) - 1).cast("bigint").alias("links"),
+            )
+        )

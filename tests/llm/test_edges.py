@@ -3,6 +3,7 @@
 import random
 import re
 import unicodedata
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,21 @@ def test_near_duplicates(spark):
     assert empty.found().count() == empty.groups().count() == 0
 
 
+def test_only_exact_copies_become_stars(spark):
+    base = words(60)
+    # 102 different texts with the same words (101 by signs, one in capitals), a text alike to them, and 101 exact copies
+    forms = [(f"f{i:03}", None, base.replace(" ", "." * i + " ", 1)) for i in range(101)] + [("g", None, base.upper())]
+    exact = words(50, 3)
+    rows = [*forms, ("h", "w1", base.replace("w0 ", "other ")), *((f"x{i:03}", None, exact) for i in range(101)), ("y", None, exact + " more")]
+    near = NearDuplicates(notes(spark, rows))
+    alike = sorted([k for k, *_ in forms] + ["h"])
+    true = set(combinations(alike, 2)) | {("x000", f"x{i:03}") for i in range(1, 101)} | {("x000", "y")}
+    assert {tuple(r) for r in near.found().collect()} == true
+    groups = {r.key: (r.rep, r.group_id, r.copies, r.links) for r in near.groups().collect()}
+    assert all(groups[k] == (k, "f000", 1, 102) for k in alike) and len(groups) == len(rows)
+    assert all(groups[f"x{i:03}"] == ("x000", "x000", 101, 1) for i in range(101)) and groups["y"] == ("y", "x000", 1, 1)
+
+
 def test_large_classes_of_copies_become_stars(spark):
     members = spark.createDataFrame([(k, 1, 5) for k in range(1, 6)] + [(8, 8, 2), (9, 8, 2)], "key int, rep int, copies int")
     links = spark.createDataFrame([(1, 8), (1, 20)], "a int, b int")
