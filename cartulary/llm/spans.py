@@ -337,7 +337,8 @@ class SharedSpans:
     def spans(self) -> DataFrame:
         """Maximal common spans of different documents: (a, start_a, b, start_b, length), a < b, positions from 0.
 
-        Spans found by hot windows are runs of such windows on one diagonal. Copies are spread as in ``copies.spread``.
+        Spans found by hot windows are runs of such windows on one diagonal; where they overlap or touch a span found
+        directly on it, both are parts of one. Copies are spread as in ``copies.spread``.
         """
         direct, windows = self._find()
         x = windows.select("h", "g", F.col("d").alias("a"), F.col("s").alias("sa"))
@@ -352,7 +353,18 @@ class SharedSpans:
         by_window = runs.select(
             "a", "start_a", "b", (F.col("start_a") + F.col("diag")).alias("start_b"), (F.col("last") - F.col("start_a") + self.min_len).alias("length")
         )
-        return self._spread(direct.unionByName(by_window).distinct())
+        found = direct.unionByName(by_window).withColumn("diag", F.col("start_b") - F.col("start_a")).withColumn("end", F.col("start_a") + F.col("length"))
+        w = Window.partitionBy("a", "b", "diag").orderBy("start_a", "end")
+        apart = F.coalesce(F.col("start_a") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+        merged = (
+            found.withColumn("apart", apart.cast("int"))
+            .withColumn("span", F.sum("apart").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("a", "b", "diag", "span")
+            .agg(F.min("start_a").alias("start_a"), F.max("end").alias("end"))
+        )
+        return self._spread(
+            merged.select("a", "start_a", "b", (F.col("start_a") + F.col("diag")).alias("start_b"), (F.col("end") - F.col("start_a")).alias("length"))
+        )
 
     def _spread(self, spans: DataFrame) -> DataFrame:
         """Spans of representatives as those of all members, with the spans within classes."""

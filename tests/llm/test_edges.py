@@ -194,6 +194,20 @@ def test_spans_of_copies(spark, monkeypatch, most):
     assert (7, 0, 8, 211, 210) in true and (7, 211, 8, 0, 210) in true and len(got) == len(set(got)) and set(got) == true
 
 
+def test_spans_are_whole_where_hot_windows_join_them(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT_CHUNK", 2), monkeypatch.setattr(spans, "HOT", 4)
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefgh 漢😀") for _ in range(n))
+    head, tail, middle, last = text(300), text(450), text(1500), text(280)
+    # boilerplate of many begins, ends and interrupts what only 1 and 2 share
+    docs = {1: text(20) + head + middle + tail + middle[::-1] + last, 2: text(70) + head + middle + tail + middle[::-1] + last}
+    docs |= {k: text(3 * k) + p + text(k) for k, p in enumerate([head, tail, last] * 6, 3)}
+    s = SharedSpans(clashing(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")), buckets=5).spans()
+    got = sorted(tuple(r) for r in s.collect())
+    whole = next(r for r in got if r[::2][:2] == (1, 2))
+    assert whole[4] >= 300 + 1500 + 450 + 1500 + 280 and got == sorted(maximal_spans(docs))
+
+
 def test_difference_cover_brings_any_two_positions_together():
     for n in (20, 60, 200, 1000):
         period, points = spans.cover(n)
