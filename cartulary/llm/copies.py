@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cartulary.session import materialize, skew_safe_join
 
 #: Classes of up to this many copies are spread into pairs of all members. Larger ones appear through their
-#: representative: it is paired with each of its copies and with what any of them is alike to; the membership table
-#: says the rest, so no link is lost and no class gives a number of pairs that is quadratic in its size.
+#: representative: it is paired with each of its copies and with what any of them is alike to; the classes
+#: (``p1_groups``, ``p9_copies``) say the rest, so no link is lost and no class gives a number of pairs that is quadratic in its size.
 SPREAD = 100
 
 

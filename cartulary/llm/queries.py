@@ -75,6 +75,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(table(spark, d, "documents")).pairs().select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    return SharedSpans(table(spark, d, "documents")).classes().withColumnRenamed("key", "doc_id")
+
+
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
     s = SharedSpans(table(spark, d, "documents")).spans()
     return s.withColumnsRenamed({"a": "doc_a", "b": "doc_b"})
@@ -89,7 +93,7 @@ def queries() -> dict[str, Query]:
         f.__name__: f
         for f in (
             p1_found, p1_groups, p2_found, p2_pieces, p3_found, p3_unmatched, p5_found, p5_pairs, p7_ids, p8_mix, p8_shares,
-            p9_found, p9_spans, p9_share,
+            p9_found, p9_copies, p9_spans, p9_share,
         )
     }
 

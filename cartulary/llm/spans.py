@@ -395,10 +395,27 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """Distinct pairs (a, b), a < b, of documents that share a span, copies spread as in ``copies.spread``."""
+        return spread(self._met(), self.copies)
+
+    def classes(self) -> DataFrame:
+        """One row per document of ``min_len`` characters or more: (key, rep, copies, links), the smallest key with its
+        text, the number of keys with it, and the number of other texts that share a span with it."""
+        links = self._met().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+        return (
+            self.texts.select("key")
+            .distinct()
+            .join(self.copies.select("key", "rep", "copies"), "key", "left")
+            .select("key", F.coalesce("rep", "key").alias("rep"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"))
+            .join(links, "rep", "left")
+            .select("key", "rep", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+        )
+
+    def _met(self) -> DataFrame:
+        """Distinct pairs (a, b), a < b, of representatives that share a span."""
         direct, windows = self._find()
         one = windows.select("h", "g", "d").distinct()
         met = one.withColumnRenamed("d", "a").join(one.withColumnRenamed("d", "b"), ["h", "g"]).filter("a < b")
-        return spread(direct.select("a", "b").union(met.select("a", "b")).distinct(), self.copies)
+        return direct.select("a", "b").union(met.select("a", "b")).distinct()
 
     def coverage(self) -> DataFrame:
         """One row per document: (key, n_chars, shared_chars, shared_part), the part that also stands in others.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cartulary.llm import bpe, copies, mixture, pairs, pieces, spans
 from cartulary.llm.canonical import NoteValues
 from cartulary.llm.near import NearDuplicates
+from cartulary.llm.queries import queries
 from cartulary.llm.spans import SharedSpans
 
 #: Names that the operators use inside.
@@ -194,6 +195,23 @@ def test_spans_of_copies(spark, monkeypatch, most):
     assert (7, 0, 8, 211, 210) in true and (7, 211, 8, 0, 210) in true and len(got) == len(set(got)) and set(got) == true
 
 
+def test_pairs_of_large_classes_follow_from_the_classes(spark, tmp_path):
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    p, q = text(220), text(250)
+    docs = {k: p + "x" for k in range(10, 112)} | {1: "y" + p, 2: p + q, 3: q, 4: q, 5: text(300), 6: "short"}
+    spark.createDataFrame([*docs.items(), (5, docs[5]), (7, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries()["p9_copies"](spark, str(tmp_path)).collect()
+    got = {r.doc_id: (r.rep, r.copies, r.links) for r in rows}
+    true = {k: (10, 102, 2) for k in range(10, 112)} | {1: (1, 1, 2), 2: (2, 1, 3), 3: (3, 2, 1), 4: (3, 2, 1), 5: (5, 1, 0)}
+    assert rows[0].asDict().keys() == {"doc_id", "rep", "copies", "links"} and len(rows) == len(got) and got == true
+    # with them, the pairs of all members follow from those of representatives
+    found = {tuple(r) for r in queries()["p9_found"](spark, str(tmp_path)).collect()}
+    members = {r: [k for k, v in got.items() if v[0] == r] for r, *_ in got.values()}
+    every = {tuple(sorted((x, y))) for a, b in found for x in members[got[a][0]] for y in members[got[b][0]] if x != y}
+    assert (10, 11) in found and (11, 12) not in found and every == {(a, b) for a, b in combinations(sorted(docs), 2) if any(docs[a][i : i + 200] in docs[b] for i in range(len(docs[a]) - 199))}
+
+
 def test_spans_are_whole_where_hot_windows_join_them(spark, monkeypatch):
     monkeypatch.setattr(spans, "HOT_CHUNK", 2), monkeypatch.setattr(spans, "HOT", 4)
     rnd = random.Random(9)
