@@ -382,6 +382,15 @@ def term_index(t):
     return search.inverted_index(t.rows).groupBy("term").agg(F.count("*").alias("notes"), F.sum("n").alias("n")).filter("notes >= 20")
 
 
+@query(
+    _WITH
+    + r"""SELECT term, count(DISTINCT path) AS notes, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(lower(raw), '[\p{L}\p{N}]+')) AS term FROM f)
+          GROUP BY term"""
+)
+def term_index_all(t):
+    return search.inverted_index(t.rows).groupBy("term").agg(F.count("*").alias("notes"), F.sum("n").alias("n"))
+
+
 # --- the graph -----------------------------------------------------------------------------------------------------
 
 

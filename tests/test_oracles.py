@@ -41,3 +41,9 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES) and len(QUERIES) > 60
+
+
+def test_rare_terms_are_in_the_full_index(spark, data):
+    every = {r.term: (r.notes, r.n) for r in QUERIES["term_index_all"](spark, data).collect()}
+    often = {r.term: (r.notes, r.n) for r in QUERIES["term_index"](spark, data).collect()}
+    assert any(notes < 20 for notes, _ in every.values()) and often == {t: v for t, v in every.items() if v[0] >= 20}
