@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,16 +87,17 @@ def neighborhood(edges: DataFrame, root: str, depth: int, direction: str = "both
     return nodes, reduce(DataFrame.unionByName, met).distinct()
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, longest: int = 1000) -> DataFrame:
+def shortest_path(edges: DataFrame, a: str, b: str, longest: int | None = None) -> DataFrame:
     """The first of the shortest directed paths from a to b by order of node names: (pos, node); no rows if none.
 
-    Each node keeps the least path by which it was first reached; nodes reached before are left out.
+    Each node keeps the least path by which it was first reached; nodes reached before are left out. The search goes on
+    until nothing new is reached; with ``longest`` it raises a ValueError if it would need more steps than that.
     """
     spark = edges.sparkSession
     steps = materialize(directed(edges.filter("src <> dst"), "out"))
     front = spark.createDataFrame([(a, [a])], "node string, way array<string>")
     seen = front.select("node")
-    for _ in range(longest):
+    for n in count():
         if not front.filter(F.col("node") == b).isEmpty():
             return front.filter(F.col("node") == b).select(F.posexplode("way").alias("pos", "node"))
         front = materialize(
@@ -107,6 +109,8 @@ def shortest_path(edges: DataFrame, a: str, b: str, longest: int = 1000) -> Data
         )
         if front.isEmpty():
             break
+        if n == longest:
+            raise ValueError(f"no path from {a!r} to {b!r} of at most {longest} steps, and the search has not ended")
         seen = materialize(seen.unionByName(front.select("node")))
     return spark.createDataFrame([], "pos int, node string")
 

@@ -1,5 +1,6 @@
 """Operators of the core over small literal corpora."""
 
+import inspect
 import json
 import random
 import zipfile
@@ -167,6 +168,15 @@ def test_shortest_path_is_the_least(spark):
     assert graph.shortest_path(df, "e", "x").count() == 0 and graph.components(df.limit(0)).count() == 0 and graph.cycles(df.limit(0)).count() == 0
 
 
+def test_shortest_path_never_ends_early_without_saying_so(spark):
+    df = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(4)], "src string, dst string")
+    assert inspect.signature(graph.shortest_path).parameters["longest"].default is None
+    assert graph.shortest_path(df, "n0", "n4", longest=4).count() == graph.shortest_path(df, "n0", "n4").count() == 5
+    assert graph.shortest_path(df, "n0", "x", longest=4).count() == 0
+    with pytest.raises(ValueError, match="at most 3 steps"):
+        graph.shortest_path(df, "n0", "n4", longest=3)
+
+
 def test_schema(spark):
     p = parse_files(
         corpus_of(spark, a="---\ntype: task\ntitle:\nstatus: odd\nowner: [b.md, none.md, c.md]\n---\n", b="---\ntype: team\n---\n", c="---\ntype: task\nrationale:\ntitle: t\n---\n")
