@@ -5,13 +5,12 @@ agree in a coordinate with a probability of their likeness to the power ``ROWS``
 phrases rarely meet. A text is posted under (coordinate, value) pairs. As alike texts agree in at least
 ``MATCHES`` coordinates, they meet within any ``COORDINATES - MATCHES + 1`` of them, so only that prefix, rarest values
 first, is merged; the long lists of frequent values are skipped and probed instead by comparing the signatures of the
-pairs that met. Pairs with at least ``MATCHES`` equal coordinates are then measured exactly on their words.
+pairs that met. Pairs with at least ``MATCHES`` equal coordinates are then measured exactly on their word sequences.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,23 +26,12 @@ COORDINATES, ROWS = 64, 3
 #: At likeness 0.7 the coordinates that agree number 22.0 on average with a deviation of 3.8: fewer than 7 happen for
 #: 4 in 10**6 such pairs, at 0.75 for 8 in 10**9. The threshold follows from this, not from the data.
 MATCHES = 7
+#: Texts of a list that are paired at once; longer lists are cut into blocks of about that many, and these paired.
+BLOCK = 512
 CHUNK = 1_000_000
 
-_WORD = re.compile(r"[^\W_]+")
-
-
-def words(text: str) -> list[str]:
-    """Unbroken runs of letters and digits, lower-cased."""
-    return _WORD.findall(text.lower())
-
-
-def sequences(text: str, n: int) -> set[tuple[str, ...]]:
-    w = words(text)
-    return set(zip(*(w[i:] for i in range(n)), strict=False))
-
-
 def _sequence_hashes(texts: list[str], n: int, least: int) -> list[np.ndarray | None]:
-    """Distinct hashes of the ``n``-word sequences of each text; None for texts of fewer than ``least`` words."""
+    """Distinct hashes of the ``n``-word sequences of each text, words being unbroken runs of letters and digits in lower case; None for texts of fewer than ``least`` words."""
     flat, at = codes([t.lower() for t in texts])
     on = np.zeros(len(flat) + 2, bool)
     on[1:-1] = alphanumeric()[flat]
@@ -102,21 +90,50 @@ def _signer(n: int, least: int):
     return run
 
 
-def _measure(n: int, least: float):
-    """Exact likeness of two texts."""
+def _hasher(n: int, least: int):
+    """Distinct hashes of the ``n``-word sequences of each text, in order: (key, seq)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keep, own = [], []
+            for a, b in chunks(list(map(len, texts)), CHUNK):
+                for i, x in enumerate(_sequence_hashes(texts[a:b], n, least), a):
+                    if x is not None:
+                        keep.append(i), own.append(x.view(np.int64))
+            at = np.concatenate([[0], np.cumsum([len(x) for x in own], dtype=np.int64)]).astype(np.int32)
+            flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["key", "seq"])
+
+    return run
+
+
+def _measure(least: float):
+    """Exact likeness of pairs. Rows come by (token, cell), those with hashes of a text (``b`` null) before the pairs of
+    these texts; what is held is one cell's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, set] = {}
+        group, held = None, {}
         for batch in batches:
+            token, cell, first, second = (batch.column(i).to_pylist() for i in range(4))
+            seq = batch.column(4)
+            at, flat = seq.offsets.to_numpy(), seq.values.to_numpy().view(np.uint64)
             out = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(memo) > 64:
-                    memo = {}
-                p, q = (memo[t] if t in memo else memo.setdefault(t, sequences(t, n)) for t in (x, y))
-                both = len(p & q)
-                either = len(p) + len(q) - both
-                if both and both >= least * either - 1e-9 * either:
-                    out.append((a, b, both / either))
+            for i, (a, b) in enumerate(zip(first, second, strict=True)):
+                if group != (token[i], cell[i]):
+                    group, held = (token[i], cell[i]), {}
+                if b is None:
+                    held.setdefault(a, []).append(flat[at[i] : at[i + 1]].copy())
+                    continue
+                best = 0.0
+                for p in held[a]:
+                    for q in held[b]:
+                        both = len(np.intersect1d(p, q, assume_unique=True))
+                        either = len(p) + len(q) - both
+                        if both >= least * either - 1e-9 * either:
+                            best = max(best, both / either)
+                if best:
+                    out.append((a, b, best))
             columns = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()), strict=True)],
@@ -136,8 +153,10 @@ class NearDuplicates:
     whatever any of them is alike to. Other columns are not read; an empty table gives no rows.
     """
 
-    def __init__(self, df: DataFrame, key_col: str = "path", parts: tuple[str, ...] = ("title", "body"), n: int = 3, least: float = 0.7, least_words: int = 20):
-        self.n, self.least = n, least
+    def __init__(
+        self, df: DataFrame, key_col: str = "path", parts: tuple[str, ...] = ("title", "body"), n: int = 3, least: float = 0.7, least_words: int = 20, block: int = BLOCK
+    ):
+        self.n, self.least, self.least_words, self.block = n, least, least_words, block
         text = F.concat_ws("\n", *(F.coalesce(F.col(p), F.lit("")) for p in parts))
         self.texts = df.filter(F.col(key_col).isNotNull()).select(F.col(key_col).cast("string").alias("key"), text.alias("text"))
         schema = "key string, exact binary, digest binary, id bigint, sig array<int>"
@@ -167,42 +186,55 @@ class NearDuplicates:
             .withColumn("alone", COORDINATES - F.size("own"))
             .filter(f"alone < {prefix}")
             .select("id", "alone", F.posexplode(F.expr(f"slice(own, 1, {prefix} - alone)")).alias("at", "t"))
-            .select("id", F.col("t.token").alias("token"), (F.col("at") + F.col("alone")).alias("at"))
+            .select("id", F.col("t.token").alias("token"), (F.col("at") + F.col("alone")).alias("at"), F.ceil(F.col("t.n") / self.block).cast("int").alias("blocks"))
+        )
+        # a long list is cut into blocks by hash; a row goes to the cell of its own block with every block of the list
+        own, lo, hi = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.least("own", "other"), F.greatest("own", "other")
+        posts = (
+            ranked.withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("token", (lo * F.col("blocks") + hi).alias("cell"), "own", (F.col("own") == F.col("other")).alias("inner"), "id", "at")
         )
-        x = ranked.select("token", F.col("id").alias("x"), F.col("at").alias("at_x"))
-        y = ranked.select("token", F.col("id").alias("y"), F.col("at").alias("at_y"))
+        x = posts.select("token", "cell", "inner", F.col("own").alias("own_x"), F.col("id").alias("x"), F.col("at").alias("at_x"))
+        y = posts.select("token", "cell", "inner", F.col("own").alias("own_y"), F.col("id").alias("y"), F.col("at").alias("at_y"))
         met = (
-            x.join(y, "token")
-            .filter("x < y")
+            x.join(y, ["token", "cell", "inner"])
+            .filter("x < y AND (inner OR own_x <> own_y)")
             .groupBy("x", "y")
-            .agg(F.count("*").alias("n"), F.max(F.greatest("at_x", "at_y")).alias("at"))
+            .agg(F.count("*").alias("n"), F.max(F.greatest("at_x", "at_y")).alias("at"), F.min("token").alias("token"))
             # what can still agree after the last meeting is known from its place in the order
             .filter(f"n + {COORDINATES} - at - 1 >= {MATCHES}")
         )
         sig = lambda k: single.select(F.col("id").alias(k), F.col("sig").alias(f"sig_{k}"), F.col("key").alias(f"key_{k}"))
         agree = F.expr("aggregate(zip_with(sig_x, sig_y, (p, q) -> if(p = q, 1, 0)), 0, (s, v) -> s + v)")
+        # pairs that met in one list are measured together, by cells of two blocks, so that a text goes there once
+        part = lambda k: F.pmod(F.xxhash64(k), F.ceil(F.col("many") / self.block)).cast("int")
         return (
             met.join(sig("x"), "x")
             .join(sig("y"), "y")
             .withColumn("agree", agree)
             .filter(F.col("agree") >= MATCHES)
-            .select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b"), "agree")
+            .join(lists.withColumnRenamed("n", "many"), "token")
+            .select(
+                F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b"), "agree", "token",
+                F.concat_ws(":", F.least(part("x"), part("y")), F.greatest(part("x"), part("y"))).alias("cell"),
+            )
             .filter("a <> b")
-        )
+        )
 
     def pairs(self) -> DataFrame:
-        """Pairs of representatives: (a, b, likeness), a < b, measured exactly."""
+        """Pairs of representatives: (a, b, likeness), a < b, measured exactly on the hashes of their word sequences."""
         if self._pairs is None:
             close = materialize(self.candidates())
-            wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+            met = close.select("token", "cell", F.explode(F.array("a", "b")).alias("key")).distinct()
+            wanted = materialize(met.select("key").distinct())
             text = self.texts.join(small_or_not(wanted), "key", "left_semi")
-            text = materialize(text.groupBy("key", F.md5("text").alias("m")).agg(F.first("text").alias("text")).drop("m"))
-            both = (
-                close.join(text.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
-                .join(text.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
-                .select("a", "b", "x", "y")
-            )
-            measured = both.mapInArrow(_measure(self.n, self.least), "a string, b string, likeness double")
+            hashed = spread_small(text).mapInArrow(_hasher(self.n, self.least_words), "key string, seq array<bigint>")
+            hashed = materialize(hashed.dropDuplicates(["key", "seq"]))
+            texts = met.join(hashed, "key").select("token", "cell", F.col("key").alias("a"), F.lit(None).cast("string").alias("b"), "seq")
+            rows = texts.unionByName(close.select("token", "cell", "a", "b"), allowMissingColumns=True)
+            rows = rows.repartition("token", "cell").sortWithinPartitions("token", "cell", F.col("b").isNotNull())
+            measured = rows.mapInArrow(_measure(self.least), "a string, b string, likeness double")
             self._pairs = materialize(measured.groupBy("a", "b").agg(F.max("likeness").alias("likeness")))
         return self._pairs
 
