@@ -150,7 +150,7 @@ def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAS
     return F.broadcast(df) if n <= rows and (size or 0) <= most else df
 
 
-def skew_safe_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
+def skew_safe_join(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
     """Inner join on ``key`` where ``right`` has one row per key and ``weight``, the number of ``left`` rows of that key.
 
     ``right`` must hold every key that has more than ``total`` / ``share`` left rows.
@@ -158,11 +158,12 @@ def skew_safe_join(left: DataFrame, right: DataFrame, key: str, weight: str, tot
     Keys that hold more than 1/``share`` of ``total`` left rows number fewer than ``share``, so they are broadcast; the
     remaining rows join through an ordinary exchange in which no key is hot.
     """
+    keys = [key] if isinstance(key, str) else key
     hot = F.col(weight) > F.lit(total) / F.lit(share)
     heavy = right.filter(hot)
-    first = left.join(F.broadcast(heavy), key)
+    first = left.join(F.broadcast(heavy), keys)
     light = right.filter(~hot)
-    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    rest = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
     return first.unionByName(rest)
 
 
