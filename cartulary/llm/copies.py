@@ -13,12 +13,13 @@ from cartulary.session import materialize, skew_safe_join
 SPREAD = 100
 
 
-def members(keyed: DataFrame) -> DataFrame:
+def members(keyed: DataFrame, written: bool = False) -> DataFrame:
     """Of (key, digest): (key, digest, rep, copies) for keys whose digest has more than one key; ``rep`` is the smallest.
 
-    Keys and digests are written first, so the texts are read once for them. The counts are combined before the exchange, and digests that hold much of all rows are joined by broadcast.
+    Keys and digests are written first, so the texts are read once for them; ``written``: they are a table of distinct
+    rows. The counts are combined before the exchange, and digests that hold much of all rows are joined by broadcast.
     """
-    keyed = materialize(keyed.distinct())
+    keyed = keyed if written else materialize(keyed.distinct())
     classes = materialize(
         keyed.groupBy("digest").agg(F.min("key").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
     )

@@ -6,13 +6,14 @@ holds one window that is hashed in both texts. Equal anchors are found by hash b
 diagonals and extended character by character.
 
 Postings travel as compressed columns, a row per chunk of text and bucket. A hash that is frequent within a chunk, or
-within its bucket, is *hot*: instead of pairing its occurrences, all ``min_len`` windows around them are hashed, and
+within its bucket, is *hot*: instead of pairing its occurrences, all ``min_len`` windows around them are digested, and
 those are grouped by the whole window. So no bucket grows with the frequency of a phrase, and pairs are only made of
-texts that share a whole window.
+texts that share a whole window, once for each run of equal windows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,12 +24,14 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.arrays import Prefix, chunks, codes
 from cartulary.llm.copies import SPREAD, members, spread
-from cartulary.session import materialize, small_or_not, spread_small
+from cartulary.session import materialize, release, skew_safe_join, small_or_not, spread_small
 
 #: Occurrences of one hash in a chunk, and in its bucket, up to which they are paired directly.
 HOT_CHUNK, HOT = 16, 64
-#: Characters worked on at once by a task.
-CHUNK = 1_000_000
+#: Characters worked on at once by a task, and those whose anchors one bucket holds about.
+CHUNK, BUCKET_CHARS = 1_000_000, 16_000_000
+#: Windows of a class that are paired at once.
+BLOCK = 512
 
 
 @cache
@@ -215,7 +218,8 @@ def _extend(min_len: int):
 
 
 def _windows(min_len: int, reach: int):
-    """Both hashes of all windows around the hot positions of a text."""
+    """All windows around the hot positions of a text: a digest of their characters in two parts, text and place, and the
+    characters before and after, -1 where the neighbouring window isn't among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,14 +229,19 @@ def _windows(min_len: int, reach: int):
                 np.add.at(begin, np.clip(at - reach, 0, len(t) - min_len + 1), 1)
                 np.add.at(begin, np.clip(at + 1, 0, len(t) - min_len + 1), -1)
                 s = np.flatnonzero(np.cumsum(begin)[: len(t) - min_len + 1] > 0)
-                flat, _ = codes([t])
-                h = Prefix(flat).spans(s, s + min_len)
-                g = Prefix(flat[::-1]).spans(len(t) - s - min_len, len(t) - s)
+                flat = codes([t])[0].astype(np.int32)
+                raw = memoryview(flat.tobytes())
                 for i in range(0, len(s), 100_000):
-                    k = slice(i, i + 100_000)
+                    k = s[i : i + 100_000]
+                    digests = b"".join(hashlib.md5(raw[4 * x : 4 * (x + min_len)], usedforsecurity=False).digest() for x in k.tolist())
+                    w = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                    on = np.isin(k - 1, s), np.isin(k + 1, s)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h[k].view(np.int64)), pa.array(g[k].view(np.int64)), pa.array(np.full(len(s[k]), d)), pa.array(s[k])],
-                        ["h", "g", "d", "s"],
+                        [
+                            pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), pa.array(np.full(len(k), d)), pa.array(k),
+                            pa.array(np.where(on[0], flat[k - 1], -1).astype(np.int32)), pa.array(np.where(on[1], flat[np.minimum(k + min_len, len(flat) - 1)], -1).astype(np.int32)),
+                        ],
+                        ["w1", "w2", "d", "s", "before", "after"],
                     )
 
     return run
@@ -272,19 +281,21 @@ class SharedSpans:
 
     ``docs`` needs a bigint ``id_col`` and a string ``text_col``; other columns are not read. Null ids, null texts and
     texts shorter than ``min_len`` share nothing. Rows of one id count as one document; exact copies are collapsed to
-    the smallest id (``copies``). ``buckets``: groups the anchors are sorted in; the anchors of one (about 9 % of the
-    characters, divided by ``buckets``, 24 bytes each) must fit a task's memory, so raise it with the corpus.
+    the smallest id (``copies``). ``buckets``: groups the anchors are sorted in, each by a task in memory (about 9 % of its
+    characters, 24 bytes each); by default as many as the counted characters need at ``BUCKET_CHARS`` each.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200, buckets: int | None = None):
         self.min_len = min_len
-        spark = docs.sparkSession
-        self.buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
         text = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("text"))
         self.all = text.filter("key IS NOT NULL")
         self.texts = self.all.filter(F.length("text") >= min_len)
         digest = F.unhex(F.md5("text"))
-        self.copies = members(self.texts.select("key", digest.alias("digest")))
+        keyed = materialize(self.texts.select("key", digest.alias("digest"), F.length("text").alias("n")).distinct())
+        chars = keyed.agg(F.sum("n")).first()[0] or 0
+        self.buckets = buckets or max(64, -(-chars // BUCKET_CHARS))
+        self.parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-self.buckets // 4))
+        self.copies = members(keyed, written=True)
         extra = self.copies.filter("key <> rep").select("key", "digest")
         self.single = self.texts.withColumn("digest", digest).join(small_or_not(extra), ["key", "digest"], "left_anti")
         self.period, self.points = cover(min_len)
@@ -294,11 +305,11 @@ class SharedSpans:
         """Diagonals with equal anchors (``lo`` and ``hi``: first and last position in ``a``), and hot occurrences."""
         width = self.min_len - self.period + 1
         blobs = spread_small(self.single.select("key", "text")).mapInArrow(_post(self.period, self.points, width, self.buckets), _BLOB)
-        return blobs.groupBy("bucket").applyInArrow(_match, _FOUND)
+        return blobs.repartition(self.parts, "bucket").groupBy("bucket").applyInArrow(_match, _FOUND)
 
     def _find(self) -> tuple[DataFrame, DataFrame]:
-        """Extended spans of the diagonals (a, start_a, b, start_b, length), and for hot anchors the whole windows that
-        stand in several texts (h, g, d, s); each is found once and kept as a table."""
+        """Extended spans of the diagonals (a, start_a, b, start_b, length), and all whole windows around hot anchors
+        (w1, w2, d, s, before, after); each is found once and kept as a table."""
         if self._parts is None:
             self._parts = self._extended()
         return self._parts
@@ -327,12 +338,39 @@ class SharedSpans:
         direct = both.mapInArrow(_extend(self.min_len), schema)
 
         at = hot.groupBy("key").agg(F.collect_set("p").alias("at"))
-        windows = text.join(at, "key").select("key", "text", "at").mapInArrow(
-            _windows(self.min_len, reach), "h bigint, g bigint, d bigint, s bigint"
-        )
-        windows = materialize(windows)
-        shared = windows.groupBy("h", "g").agg(F.min("d").alias("x"), F.max("d").alias("y")).filter("x <> y").select("h", "g")
-        return materialize(direct), materialize(windows.join(shared, ["h", "g"], "left_semi"))
+        schema = "w1 bigint, w2 bigint, d bigint, s bigint, before int, after int"
+        windows = text.join(at, "key").select("key", "text", "at").mapInArrow(_windows(self.min_len, reach), schema)
+        out = materialize(direct), materialize(windows)
+        release(found, wanted, text)
+        return out
+
+    def _edges(self, side: str) -> DataFrame:
+        """Where equal windows of two texts don't go on at ``side`` (before or after): (a, sa, b, sb), a < b.
+
+        Windows are classed by the character at that side. Two equal ones go on together only if it is the same for
+        both, so only members of different classes are paired, and those of the class -1 also with one another: a run of
+        equal windows gives its two ends and not the pairs between them. Large classes are paired in blocks.
+        """
+        _, windows = self._find()
+        key, at = ["w1", "w2", side], F.col(side)
+        classes = windows.groupBy(*key).agg(F.count("*").alias("n"), F.min("d").alias("x"), F.max("d").alias("y"))
+        # windows of one text, and those that all go on with the same character, give no pair
+        open_ = classes.groupBy("w1", "w2").agg(F.min("x").alias("x"), F.max("y").alias("y"), F.min(side).alias("least"), F.max(side).alias("most"))
+        open_ = open_.filter("x <> y AND (least <> most OR least = -1)").select("w1", "w2")
+        classes = materialize(classes.join(open_, ["w1", "w2"], "left_semi").select(*key, "n"))
+        k = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        x = classes.select("w1", "w2", at.alias("cx"), k("n").alias("kx"))
+        y = classes.select("w1", "w2", at.alias("cy"), k("n").alias("ky"))
+        links = x.join(y, ["w1", "w2"]).filter("cx < cy OR cx = cy AND cx = -1")
+        links = links.select("w1", "w2", "cx", "cy", F.explode(F.sequence(F.lit(0), F.col("kx") - 1)).alias("ix"), "ky")
+        links = links.select("w1", "w2", "cx", "ix", "cy", F.explode(F.sequence(F.lit(0), F.col("ky") - 1)).alias("iy"))
+        own = skew_safe_join(windows, classes, key, "n", windows.count())
+        own = materialize(own.select(*key, F.pmod(F.xxhash64("d", "s"), k("n")).cast("int").alias("i"), "d", "s"))
+        first = links.join(own.select("w1", "w2", F.col(side).alias("cx"), F.col("i").alias("ix"), F.col("d").alias("dx"), F.col("s").alias("sx")), ["w1", "w2", "cx", "ix"])
+        both = first.join(own.select("w1", "w2", F.col(side).alias("cy"), F.col("i").alias("iy"), F.col("d").alias("dy"), F.col("s").alias("sy")), ["w1", "w2", "cy", "iy"])
+        turn = lambda p, q: F.when(F.col("dx") < F.col("dy"), F.col(p)).otherwise(F.col(q))
+        # within the class -1 each pair comes in both orders
+        return both.filter("dx < dy OR dx > dy AND cx < cy").select(F.least("dx", "dy").alias("a"), turn("sx", "sy").alias("sa"), F.greatest("dx", "dy").alias("b"), turn("sy", "sx").alias("sb"))
 
     def spans(self) -> DataFrame:
         """Maximal common spans of different documents: (a, start_a, b, start_b, length), a < b, positions from 0.
@@ -340,18 +378,13 @@ class SharedSpans:
         Spans found by hot windows are runs of such windows on one diagonal; where they overlap or touch a span found
         directly on it, both are parts of one. Copies are spread as in ``copies.spread``.
         """
-        direct, windows = self._find()
-        x = windows.select("h", "g", F.col("d").alias("a"), F.col("s").alias("sa"))
-        y = windows.select("h", "g", F.col("d").alias("b"), F.col("s").alias("sb"))
-        pairs = x.join(y, ["h", "g"]).filter("a < b").select("a", "b", (F.col("sb") - F.col("sa")).alias("diag"), "sa").distinct()
-        w = Window.partitionBy("a", "b", "diag").orderBy("sa")
-        runs = (
-            pairs.withColumn("run", F.col("sa") - F.row_number().over(w))
-            .groupBy("a", "b", "diag", "run")
-            .agg(F.min("sa").alias("start_a"), F.max("sa").alias("last"))
-        )
+        direct, _ = self._find()
+        ends = lambda side, kind: self._edges(side).select("a", "b", (F.col("sb") - F.col("sa")).alias("diag"), F.col("sa").alias("at"), F.lit(kind).alias("kind"))
+        # on a diagonal runs of equal windows begin and end in turn; one window can be both
+        w = Window.partitionBy("a", "b", "diag").orderBy("at", "kind")
+        runs = ends("before", 0).union(ends("after", 1)).withColumn("last", F.lead("at").over(w)).filter("kind = 0")
         by_window = runs.select(
-            "a", "start_a", "b", (F.col("start_a") + F.col("diag")).alias("start_b"), (F.col("last") - F.col("start_a") + self.min_len).alias("length")
+            "a", F.col("at").alias("start_a"), "b", (F.col("at") + F.col("diag")).alias("start_b"), (F.col("last") - F.col("at") + self.min_len).alias("length")
         )
         found = direct.unionByName(by_window).withColumn("diag", F.col("start_b") - F.col("start_a")).withColumn("end", F.col("start_a") + F.col("length"))
         w = Window.partitionBy("a", "b", "diag").orderBy("start_a", "end")
@@ -412,10 +445,8 @@ class SharedSpans:
 
     def _met(self) -> DataFrame:
         """Distinct pairs (a, b), a < b, of representatives that share a span."""
-        direct, windows = self._find()
-        one = windows.select("h", "g", "d").distinct()
-        met = one.withColumnRenamed("d", "a").join(one.withColumnRenamed("d", "b"), ["h", "g"]).filter("a < b")
-        return direct.select("a", "b").union(met.select("a", "b")).distinct()
+        direct, _ = self._find()
+        return direct.select("a", "b").union(self._edges("before").select("a", "b")).distinct()
 
     def coverage(self) -> DataFrame:
         """One row per document: (key, n_chars, shared_chars, shared_part), the part that also stands in others.
@@ -424,6 +455,8 @@ class SharedSpans:
         where they stand, without pairs.
         """
         direct, windows = self._find()
+        shared = windows.groupBy("w1", "w2").agg(F.min("d").alias("x"), F.max("d").alias("y"), F.count("*").alias("n")).filter("x <> y")
+        windows = skew_safe_join(windows, materialize(shared.select("w1", "w2", "n")), ["w1", "w2"], "n", windows.count())
         ends = lambda k: direct.select(F.col(k).alias("key"), F.col(f"start_{k}").alias("s"), (F.col(f"start_{k}") + F.col("length")).alias("e"))
         one = ends("a").union(ends("b")).union(windows.select("d", "s", F.col("s") + self.min_len))
         w = Window.partitionBy("key").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)

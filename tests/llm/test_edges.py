@@ -61,6 +61,13 @@ def test_only_exact_copies_become_stars(spark):
     assert all(groups[f"x{i:03}"] == ("x000", "x000", 101, 1) for i in range(101)) and groups["y"] == ("y", "x000", 1, 1)
 
 
+def test_long_lists_are_paired_in_blocks(spark):
+    base = words(80)
+    rows = [(f"k{i:02}", None, base.replace(f"w{(i * 7919) % 10007} ", f"other{i} ")) for i in range(40)]
+    near = NearDuplicates(notes(spark, rows), block=4)
+    assert {tuple(r) for r in near.found().collect()} == set(combinations([k for k, *_ in rows], 2))
+
+
 def test_large_classes_of_copies_become_stars(spark):
     members = spark.createDataFrame([(k, 1, 5) for k in range(1, 6)] + [(8, 8, 2), (9, 8, 2)], "key int, rep int, copies int")
     links = spark.createDataFrame([(1, 8), (1, 20)], "a int, b int")
@@ -226,6 +233,26 @@ def test_spans_are_whole_where_hot_windows_join_them(spark, monkeypatch):
     assert whole[4] >= 300 + 1500 + 450 + 1500 + 280 and got == sorted(maximal_spans(docs))
 
 
+def test_long_runs_of_one_character_give_their_diagonals(spark):
+    n = 3_000
+    docs = [(1, "x" + "=" * n), (2, "some words " + "=" * n + " and more"), (3, "plain")]
+    s = SharedSpans(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    got = {tuple(r) for r in s.spans().collect()}
+    true = {(1, 1 + max(0, -d), 2, 11 + max(0, d), n - abs(d)) for d in range(200 - n, n - 199)}
+    assert got == true and [tuple(r) for r in s.pairs().collect()] == [(1, 2)]
+
+
+def test_classes_of_windows_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT_CHUNK", 2), monkeypatch.setattr(spans, "HOT", 4), monkeypatch.setattr(spans, "BLOCK", 3)
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcd") for _ in range(n))
+    head = text(210)
+    docs = {k: text(k % 4) + head + text(9) for k in range(40)}
+    s = SharedSpans(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"))
+    got = [tuple(r) for r in s.spans().collect()]
+    assert sorted(got) == sorted(maximal_spans(docs)) and {tuple(r) for r in s.pairs().collect()} == set(combinations(range(40), 2))
+
+
 def test_difference_cover_brings_any_two_positions_together():
     for n in (20, 60, 200, 1000):
         period, points = spans.cover(n)
