@@ -1,13 +1,15 @@
 """Mixing sources to target shares of a budget in tokens, by counts of documents per exact token length.
 
 Whole passes over a source come first. For the rest of its budget the documents are counted by token length; each
-length gives its proportional number of documents, and what is still missing is filled by a bounded-knapsack search
-over the lengths that are left, so the budget is met to the token wherever a subset sum allows. Which documents of a
-length are taken follows a seeded hash, not their order.
+length gives its proportional number of documents, and a bounded-knapsack search over the lengths, adding and giving
+back documents around the budget, finds the greatest sum that doesn't exceed it: the budget is met to the token
+wherever a subset sum allows. Which documents of a length are taken follows a seeded hash, not their order.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -20,74 +22,90 @@ PARTS = 64
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0) -> np.ndarray:
-    """How many documents of each length to take so that their sum comes closest to ``budget`` from below.
+    """How many documents of each length to take so that their sum is the greatest that doesn't exceed ``budget``.
 
-    First a proportional number of each length, then, in seeded order, one more of each while it fits and leaves room;
-    the remainder (at most about four times the greatest length) is searched exactly over all counts that are left,
-    giving back one document of each length beforehand so that small remainders have room.
+    First a proportional number of each length, then, in seeded order, one more of each while it fits, until less than
+    the greatest length is missing; from there ``balance`` finds an optimal sum.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    use = (lengths > 0) & (counts > 0)
     total = int((lengths * counts).sum())
-    if budget <= 0 or not len(lengths):
+    if budget <= 0 or not use.any():
         return np.zeros_like(counts)
     if budget >= total:
         return counts.copy()
-    taken = counts * (budget / total)
-    taken = np.minimum(counts, np.floor(taken).astype(np.int64))
-    left = budget - int((lengths * taken).sum())
+    part = int(np.gcd.reduce(lengths[use]))
+    n, c, goal = lengths[use] // part, counts[use], budget // part
     rng = np.random.default_rng(seed)
-    room = 2 * int(lengths.max())
-    while left > room:
-        open_ = np.flatnonzero((taken < counts) & (lengths <= left - room // 2))
-        if not len(open_):
-            break
-        order = rng.permutation(open_)
-        fits = order[np.cumsum(lengths[order]) <= left - room // 2]
-        if not len(fits):
-            break
+    taken = np.minimum(c, np.floor(c * (budget / total)).astype(np.int64))
+    left = goal - int((n * taken).sum())
+    while left < 0:  # rounding of large numbers
+        k = int(np.flatnonzero(taken)[0])
+        taken[k], left = taken[k] - 1, left + int(n[k])
+    while left >= int(n.max()):
+        order = rng.permutation(np.flatnonzero(taken < c))
+        fits = order[np.cumsum(n[order]) <= left]
         taken[fits] += 1
-        left -= int(lengths[fits].sum())
-    back = rng.permutation(np.flatnonzero(taken > 0))
-    back = back[np.cumsum(lengths[back]) <= room] if len(back) else back
-    taken[back] -= 1
-    left += int(lengths[back].sum())
-    return taken + knapsack(lengths, counts - taken, left)
+        left -= int(n[fits].sum())
+    out = np.zeros_like(counts)
+    out[use] = taken + balance(n, taken, c - taken, left, rng)
+    return out
 
 
-def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded subset sum: counts per length with the greatest reachable sum up to ``budget``.
+def balance(lengths: np.ndarray, taken: np.ndarray, free: np.ndarray, left: int, rng: np.random.Generator) -> np.ndarray:
+    """Exact bounded knapsack around a choice that misses its budget by ``left``, below the greatest length: by how many
+    documents of each length it changes so that the sum is the greatest up to the budget.
 
-    For every sum the first length that reaches it and how many of it are used are kept, for walking back; each length
-    takes one pass over the sums by residue. Longer lengths go first.
+    Any better choice can be reached by adding a free document while the sum is not above the budget and giving a taken
+    one back while it is, so sums stay within one greatest length of it. Free documents are offered one after another;
+    for each sum it is kept how far the taken ones, in a fixed order, are still untouched (the farther the better). No
+    sum is passed over, so the result is optimal; the search ends at the budget itself, which is mostly met after a few
+    documents. Of one length no more documents can be needed than twice the greatest length.
     """
-    use = np.zeros_like(counts)
-    if budget <= 0:
-        return use
-    last = np.full(budget + 1, -1, np.int64)  # the length that first reached a sum
-    many = np.zeros(budget + 1, np.int64)
-    reached = np.zeros(budget + 1, bool)
-    reached[0] = True
-    for k in np.argsort(-lengths, kind="stable").tolist():
-        n, c = int(lengths[k]), int(counts[k])
-        if n <= 0 or n > budget or c <= 0:
-            continue
-        rows = -(-(budget + 1) // n)
-        grid = np.zeros(rows * n, bool)
-        grid[: budget + 1] = reached
-        grid = grid.reshape(rows, n)
-        row = np.where(grid, np.arange(rows)[:, None], -rows - c - 1)
-        used = np.arange(rows)[:, None] - np.maximum.accumulate(row, 0)
-        new = ((used > 0) & (used <= c)).ravel()[: budget + 1]
-        last[new], many[new] = k, used.ravel()[: budget + 1][new]
-        reached |= new
-        if reached[budget]:
+    change = np.zeros_like(taken)
+    if left == 0:
+        return change
+    most = int(lengths.max())
+    kinds = rng.permutation(np.flatnonzero(taken > 0))  # taken documents, length by length; ends[i]: where kind i ends
+    ends = np.cumsum(np.minimum(taken[kinds], 2 * most + 1))
+    begins, sizes = ends - np.diff(ends, prepend=0), lengths[kinds]
+    # at[x + most]: sums by their distance x from the budget, from -most to most; -1 for sums not reached
+    at = np.full(2 * most + 1, -1, np.int64)
+    way = np.zeros(2 * most + 1, np.int64)  # the step by which a sum was reached
+    steps: list[tuple[int, np.ndarray, np.ndarray | int, int]] = []  # from a number on: steps before, kinds, 1 or -1
+    made = 1
+
+    def step(to: np.ndarray, before: np.ndarray, kind: np.ndarray | int, sign: int) -> None:
+        nonlocal made
+        steps.append((made, before, kind, sign))
+        way[to] = np.arange(made, made + len(to))
+        made += len(to)
+
+    at[most - left] = int(ends[-1]) if len(ends) else 0
+    order = rng.permutation(np.flatnonzero(free > 0))
+    for k in (int(k) for i in range(2 * most + 1) for k in order[free[order] > i]):
+        n, old = int(lengths[k]), at.copy()
+        low = np.flatnonzero(old[: most + 1] >= 0)
+        low = low[old[low] > at[low + n]]
+        at[low + n] = old[low]
+        step(low + n, way[low].copy(), k, 1)
+        i = 2 * most
+        while i > most and at[most] < 0:  # above the budget: give back one of the untouched, the last of its kind
+            if at[i] > max(old[i], 0):
+                some = np.flatnonzero((begins < at[i]) & (ends > max(old[i], 0)))
+                last, there = np.minimum(ends[some], at[i]) - 1, i - sizes[some]
+                more = last > at[there]
+                at[there[more]] = last[more]
+                step(there[more], np.broadcast_to(way[i], int(more.sum())), kinds[some][more], -1)
+            i -= 1
+        if at[most] >= 0:
             break
-    at = int(np.flatnonzero(reached)[-1])
-    while at > 0:
-        k = int(last[at])
-        use[k] += many[at]
-        at -= int(many[at] * lengths[k])
-    return use
+    number = int(way[int(np.flatnonzero(at[: most + 1] >= 0)[-1])])
+    while number:
+        base, before, kind, sign = steps[bisect_right(steps, number, key=lambda x: x[0]) - 1]
+        change[kind if isinstance(kind, int) else kind[number - base]] += sign
+        number = int(before[number - base])
+    return change
 
 
 class Mixture:
@@ -128,7 +146,7 @@ class Mixture:
 
         histogram = self.lengths.groupBy("source", "n_tokens").agg(F.sum("n").alias("n"))
         return (
-            histogram.join(F.broadcast(self.goal), "source")
+            histogram.join(small_or_not(self.goal), "source")
             .groupBy("source")
             .applyInPandas(one, "source string, n_tokens bigint, passes int, extra bigint")
         )

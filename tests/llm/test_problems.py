@@ -48,7 +48,9 @@ def test_pieces(spark, data):
         own.sort(key=lambda r: r.piece_no)
         assert "".join(big[path][r.begin : r.end] for r in own) == big[path]
         assert all(r.text == big[path][r.start : r.end] and len(r.text) <= 4000 for r in own)
-        assert all(0 <= r.begin - r.start <= 200 for r in own)
+        # about the last 200 characters of the piece before, or all of it if it is shorter
+        assert all(160 <= r.begin - r.start <= 200 or r.start <= before.start + 40 for before, r in zip(own, own[1:], strict=False))
+        assert own[0].start == 0 and all(r.begin - r.start <= 200 for r in own)
 
 
 @pytest.mark.parametrize("length", [3799, 3801, 3990, 4000, 4001, 9000])
@@ -140,17 +142,32 @@ def test_ids(spark, data):
         assert b.encode_batch([t, None, ""]) == [enc.encode_ordinary(t), [], []]
 
 
-def test_knapsack_is_exact():
+def greatest_sum(lengths, counts, budget):
+    sums = 1
+    for n, c in zip(lengths, counts, strict=True):
+        for _ in range(int(c)):
+            sums = (sums | sums << int(n)) & ((1 << (budget + 1)) - 1)
+    return sums.bit_length() - 1
+
+
+@pytest.mark.parametrize("kind", ["short", "mixed", "skewed"])
+def test_knapsack_is_exact(kind):
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        lengths = np.unique(rng.integers(1, 30, rng.integers(1, 7)))
-        counts = rng.integers(0, 4, len(lengths))
-        budget = int(rng.integers(0, 120))
-        sums = {0}
-        for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
-            sums = {s + n * k for s in sums for k in range(c + 1)}
-        use = mixture.knapsack(lengths, counts, budget)
-        assert (use <= counts).all() and (use * lengths).sum() == max(s for s in sums if s <= budget)
+    for i in range(200):
+        lengths = rng.integers(1, 30 if kind == "short" else 400, rng.integers(1, 8))
+        lengths = np.unique(np.concatenate([lengths, rng.integers(1500, 3000, 2)]) if kind == "skewed" else lengths)
+        counts = rng.integers(0, 25, len(lengths))
+        budget = int(rng.integers(0, int((lengths * counts).sum()) + 5))
+        use = mixture.fit(lengths, counts, budget, i)
+        assert (use >= 0).all() and (use <= counts).all() and (use * lengths).sum() == greatest_sum(lengths, counts, budget)
+
+
+def test_knapsack_of_many_lengths():
+    for lengths in (np.arange(2, 20_000, 2), np.append(np.arange(2, 20_000, 2), 30_001)):
+        counts = np.full(len(lengths), 5)
+        budget = int((lengths * counts).sum()) // 2 | 1
+        left = budget - int((mixture.fit(lengths, counts, budget) * lengths).sum())
+        assert left == (1 if len(lengths) == 9_999 else 0)
 
 
 def test_mixture(spark, data):
@@ -166,7 +183,11 @@ def test_mixture(spark, data):
     for r in shares:
         assert r.reached_tokens == got[r.source] <= r.target_tokens == round(targets[r.source]["target_share"] * total)
         most = sum(x.n_tokens for x in uses if x.source == r.source) * r.max_repeats
-        assert r.shortfall_tokens <= max(r.target_tokens - most, 200)
+        own = Counter(x.n_tokens for x in uses if x.source == r.source)
+        whole = sum(n * c for n, c in own.items())
+        passes = min(r.max_repeats, r.target_tokens // whole) if whole else 0
+        best = greatest_sum(own, own.values(), r.target_tokens - passes * whole) if passes < r.max_repeats else 0
+        assert r.reached_tokens == passes * whole + best and r.shortfall_tokens >= r.target_tokens - most
 
 
 def test_shared_spans(spark, data):
