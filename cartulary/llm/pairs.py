@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from cartulary.session import materialize
+from cartulary.session import materialize, skew_safe_join
 
 #: Items that a block of a basket holds about; larger baskets are paired block by block.
 BLOCK = 256
@@ -27,10 +27,8 @@ def _composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def plain_form(c: Column) -> Column:
-    """Form NFC, without outer spaces, in lower case; null for blank. Only values beyond ASCII go through Python."""
-    odd = c.rlike(r"[^\x00-\x7F]")
-    ascii_ = F.regexp_replace(F.lower(c), r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
-    return F.nullif(F.when(odd, _composed(F.when(odd, c))).otherwise(ascii_), F.lit(""))
+    """Form NFC, without outer spaces, in lower case; null for blank."""
+    return F.nullif(_composed(c), F.lit(""))
 
 
 def cooccurrence(
@@ -44,9 +42,15 @@ def cooccurrence(
     baskets are split by hash into blocks that are paired with one another, so no basket is ever gathered whole; counts
     are combined before the exchange. The result is exact. An empty table gives no rows.
     """
-    value = plain_form(F.col(item)) if form else F.nullif(F.trim(F.col(item)), F.lit(""))
-    one = df.select(F.col(basket).alias("basket"), value.alias("item")).filter("basket IS NOT NULL AND item IS NOT NULL").distinct()
-    one = materialize(one)
+    rows = df.select(F.col(basket).alias("basket"), F.col(item).alias("raw")).filter("basket IS NOT NULL AND raw IS NOT NULL")
+    if form:  # each different value is brought to its form once
+        forms = materialize(rows.groupBy("raw").agg(F.count("*").alias("n")).withColumn("item", plain_form(F.col("raw"))))
+        total = forms.agg(F.sum("n")).first()[0] or 0
+        forms = forms.filter("item IS NOT NULL")
+        one = skew_safe_join(rows, forms, "raw", "n", total)
+    else:
+        one = rows.withColumn("item", F.nullif(F.trim("raw"), F.lit(""))).filter("item IS NOT NULL")
+    one = materialize(one.select("basket", "item").distinct())
     n = one.select("basket").distinct().count()
     marginal = materialize(one.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= least))
     kept = one.join(marginal.select("item"), "item", "left_semi")
