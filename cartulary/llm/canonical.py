@@ -52,16 +52,20 @@ SEGMENTS = """
                 FROM (SELECT l.list, l.entry, f.s AS e, cast(length(f.s) * 2 div 5 AS int) AS k
                       FROM (SELECT DISTINCT list, entry FROM {lists} WHERE entry IS NOT NULL) l JOIN {forms} f ON f.v = l.entry)))"""
 
-#: The nearest entry of each (list, value); no row where none is near enough.
+#: The nearest entry of each (list, value); no row where none is near enough. A list's kinds of segments are their place p
+#: and length l with the length n of the entry and its k: a value whose length is within k of n is cut only at the places
+#: up to k from p.
 NEAREST = """
-    WITH grams AS (
-      SELECT list, v, s, l, p, substring(s, p, l) AS seg
-      FROM (SELECT w.list, w.v, w.s, n.l, explode(if(n.l = 0, array(1), if(length(w.s) >= n.l, sequence(1, length(w.s) - n.l + 1), array()))) AS p
-            FROM {words} w JOIN (SELECT DISTINCT list, l FROM {segments}) n ON n.list = w.list)),
+    WITH kinds AS (SELECT DISTINCT list, length(e) AS n, k, p, l FROM {segments}),
+    grams AS (
+      SELECT list, v, s, n, p, l, substring(s, at, l) AS seg
+      FROM (SELECT w.list, w.v, w.s, t.n, t.p, t.l, explode(if(t.l = 0, array(1),
+                   filter(sequence(greatest(1, t.p - t.k), greatest(1, t.p + t.k)), i -> i + t.l - 1 <= length(w.s)))) AS at
+            FROM {words} w JOIN kinds t ON t.list = w.list AND abs(t.n - length(w.s)) <= t.k)),
     met AS (
       SELECT DISTINCT g.list, g.v, g.s, t.entry, t.e, t.k
       FROM grams g JOIN {segments} t
-        ON t.list = g.list AND t.l = g.l AND t.seg = g.seg AND abs(t.p - g.p) <= t.k AND abs(length(t.e) - length(g.s)) <= t.k),
+        ON t.list = g.list AND length(t.e) = g.n AND t.p = g.p AND t.l = g.l AND t.seg = g.seg),
     measured AS (SELECT list, v, entry, levenshtein(s, e) AS d, k FROM met)
     SELECT list, v, min(struct(d, entry)).entry AS entry FROM measured WHERE d <= k GROUP BY list, v"""
 
