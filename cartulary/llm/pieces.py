@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.session import materialize, small_or_not
+
 #: What separates words.
 BLANKS = " \t\r\n"
 
@@ -206,4 +208,17 @@ def pieces(df: DataFrame, key_col: str = "path", text_col: str = "body", most: i
                     arrays, names = [*arrays, pa.array(body, pa.string())], [*names, "text"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
+    if texts:
+        return _once(big).mapInArrow(run, schema).withColumnRenamed("key", key_col)
     return big.mapInArrow(run, schema).distinct().withColumnRenamed("key", key_col)
+
+
+def _once(big: DataFrame) -> DataFrame:
+    """(key, text) without repeated rows: only digests of all texts, and the texts that are repeated, are exchanged."""
+    keyed = big.withColumn("m", F.md5("text"))
+    again = materialize(keyed.groupBy("key", "m").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("k"), F.col("m").alias("d")))
+    if again.isEmpty():
+        return big
+    same, again = F.col("key").eqNullSafe(F.col("k")) & (F.col("m") == F.col("d")), small_or_not(again)
+    rest, more = keyed.join(again, same, "left_anti"), keyed.join(again, same, "left_semi").dropDuplicates(["key", "m"])
+    return rest.unionByName(more).drop("m")
