@@ -44,8 +44,8 @@ def _truthy(pair: Column) -> Column:
     )
 
 
-def local_checks(parsed: DataFrame) -> DataFrame:
-    """Rules that a note meets or breaks by itself: (path, level, code, msg, targets), one row each.
+def with_rules(parsed: DataFrame) -> DataFrame:
+    """``parsed`` with the rules that each note meets or breaks by itself as a list ``rules``.
 
     Index and log pages only meet the conflict rule and their own; broken front matter ends the rules for a note.
     """
@@ -73,7 +73,13 @@ def local_checks(parsed: DataFrame) -> DataFrame:
         _check(fine & (F.size(T.relative_hrefs(F.col("body"))) > 0), "info", "LINK-REL", "Links are relative."),
         _check(fine & ~F.col("body").rlike(T.HEADING), "info", "BODY-STRUCT", "The body has no heading."),
     ]
-    return parsed.select("path", F.explode(F.array_compact(F.array(*rules))).alias("c")).select("path", "c.*").distinct()
+    return parsed.withColumn("rules", F.array_compact(F.array(*rules)))
+
+
+def local_checks(parsed: DataFrame) -> DataFrame:
+    """Rules of single notes: (path, level, code, msg, targets), one row each; ``parsed`` may already have its ``rules``."""
+    own = parsed if "rules" in parsed.columns else with_rules(parsed)
+    return own.select("path", F.explode("rules").alias("c")).select("path", "c.*").distinct()
 
 
 def graph_checks(parsed: DataFrame, links: DataFrame) -> DataFrame:
@@ -108,6 +114,17 @@ def summary(checks: DataFrame) -> DataFrame:
     return checks.agg(*(F.count_if(F.col("level") == k).alias(n) for k, n in (("err", "errors"), ("warn", "warnings"), ("info", "infos"))))
 
 
+def summaries(parsed: DataFrame, orphans: DataFrame, checks: DataFrame) -> DataFrame:
+    """One row a note: (path, title, type, status, description, orphan, invalid), the title made from the name if there
+    is none."""
+    own = parsed.filter("kind = 'concept'").dropDuplicates(["path"])
+    flag = lambda df, n: df.select("path").distinct().withColumn(n, F.lit(True))
+    own = own.join(flag(orphans, "orphan"), "path", "left").join(flag(checks.filter("level = 'err'"), "invalid"), "path", "left")
+    title = F.coalesce(F.nullif("title", F.lit("")), P.title_from_path("path"))
+    no = lambda n: F.coalesce(n, F.lit(False)).alias(n)
+    return own.select("path", title.alias("title"), "type", "status", "description", no("orphan"), no("invalid"))
+
+
 def worst(checks: DataFrame) -> DataFrame:
     """Worst severity of each path: (path, level)."""
     by_rank = F.create_map(*(F.lit(x) for k, v in RANK.items() for x in (v, k)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from cartulary.functions import text as T
+
 #: Cells of a comparison beyond which lines are compared as one block, and lines kept around a change.
 MOST_CELLS, CONTEXT = 2_000_000, 2
 #: Order of fields in a report.
@@ -57,20 +60,17 @@ def line_diff(a: str, b: str) -> list[tuple[str, str]]:
 
 
 def collapse(lines: list[tuple[str, str]], context: int = CONTEXT) -> list[tuple[str, str]]:
-    """Runs of more than twice ``context`` equal lines become a gap with that many lines at each side."""
+    """Runs of more than twice ``context`` equal lines become a gap; that many lines stay beside each change, and none at
+    the beginning and the end of the text."""
     out: list[tuple[str, str]] = []
-    i = 0
-    while i < len(lines):
-        j = i
-        while j < len(lines) and lines[j][0] == "equal":
-            j += 1
-        run = lines[i:j]
-        if len(run) > 2 * context:
-            run = [*run[:context], ("gap", str(len(run) - 2 * context)), *run[-context:]]
-        out += run
-        if j < len(lines):
-            out.append(lines[j])
-        i = j + 1
+    for equal, group in groupby(enumerate(lines), lambda x: x[1][0] == "equal"):
+        run = list(group)
+        own = [x for _, x in run]
+        if equal and len(run) > 2 * context:
+            top = context if run[0][0] > 0 else 0
+            low = len(run) - (context if run[-1][0] < len(lines) - 1 else 0)
+            own = [*own[:top], ("gap", str(low - top)), *own[low:]]
+        out += own
     return out
 
 
@@ -147,3 +147,34 @@ def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame) -> DataFrame:
     same, by_them, by_us = o.eqNullSafe(t), o.eqNullSafe(b), t.eqNullSafe(b)
     raw = F.when(same | by_us, o).when(by_them, t).otherwise(marks)
     return all_.select("path", raw.alias("raw"), (~(same | by_us | by_them)).alias("conflict")).filter("raw IS NOT NULL")
+
+
+def semantic(files: DataFrame, fields: DataFrame, links: DataFrame) -> DataFrame:
+    """Kinds of change of each file: (path, kind), ``created``, ``modified`` or ``deleted``, and ``frontmatter``, ``body``
+    and ``relation`` where these differ. A move comes out as a deletion and a new file."""
+    kind = F.when(F.col("change") == "added", "created").when(F.col("change") == "removed", "deleted").otherwise("modified")
+    body = lambda c: T.body_text(F.coalesce(c, F.lit("")))
+    own = files.filter("NOT generated")
+    rows = own.select("path", kind.alias("kind"))
+    rows = rows.union(fields.select("path").distinct().withColumn("kind", F.lit("frontmatter")))
+    rows = rows.union(own.filter(body("before") != body("after")).select("path", F.lit("body").alias("kind")))
+    return rows.union(links.select(F.col("src").alias("path")).distinct().withColumn("kind", F.lit("relation"))).distinct()
+
+
+def message(files: DataFrame, fields: DataFrame) -> str:
+    """One line about a change: the page added, the status set, or the numbers of files. Generated pages don't count."""
+    n = {r.change: r.n for r in stats(files).collect()}
+    if n == {"added": 1}:
+        return f"Add {_title(files.filter((F.col('change') == 'added') & ~F.col('generated')))}"
+    status = fields.filter("field = 'status'").limit(2).collect()
+    if len(status) == 1 and status[0].after:
+        return f"{status[0].after}: {_title(files.filter(F.col('path') == status[0].path))}"
+    return f"Update: {n.get('added', 0)} added, {n.get('modified', 0)} modified, {n.get('removed', 0)} removed"
+
+
+def _title(files: DataFrame) -> str:
+    from cartulary.functions.front import parse_files
+    from cartulary.functions.paths import title_from_path
+
+    own = parse_files(files.select("path", F.coalesce("after", "before").alias("raw")))
+    return own.select(F.coalesce(F.nullif("title", F.lit("")), title_from_path("path"))).first()[0]

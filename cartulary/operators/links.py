@@ -93,3 +93,19 @@ def missing_targets(links: DataFrame, notes: DataFrame) -> DataFrame:
         .join(notes.select(F.col("path").alias("dst")).distinct(), "dst", "left_anti")
     )
     return gone.groupBy(F.col("src").alias("path")).agg(F.sort_array(F.collect_set("dst")).alias("targets"))
+
+
+def note_view(notes: DataFrame, path: str) -> DataFrame:
+    """Around one note: (kind, path, href). ``inbound``: notes that link to it with their first href; ``index``: index pages
+    that list it; ``out``: files it links to, but itself and index and log pages; ``dangling``: hrefs of it that lead to
+    no file."""
+    hrefs = all_hrefs(notes).withColumn("dst", P.rel_path(P.resolve_link("href", "src"))).withColumn("page", P.basename("src") == P.INDEX)
+    into = hrefs.filter((F.col("dst") == path) & (F.col("src") != path) & (F.col("page") | ~P.is_reserved("src")))
+    first = into.groupBy("src", "page").agg(F.min_by("href", "pos").alias("href"))
+    inbound_ = first.select(F.when(F.col("page"), "index").otherwise("inbound").alias("kind"), F.col("src").alias("path"), F.when(~F.col("page"), F.col("href")).alias("href"))
+    there = notes.select(F.col("path").alias("dst")).distinct().withColumn("known", F.lit(True))
+    # a target that is no valid path is dangling too
+    own = hrefs.filter((F.col("src") == path) & P.resolve_link("href", "src").isNotNull()).join(there, "dst", "left")
+    out = own.filter(F.col("known") & (F.col("dst") != path) & ~P.is_reserved("dst")).select(F.lit("out").alias("kind"), F.col("dst").alias("path"), F.lit(None).cast("string").alias("href"))
+    gone = own.filter("known IS NULL").select(F.lit("dangling").alias("kind"), F.lit(None).cast("string").alias("path"), "href")
+    return inbound_.unionByName(out.distinct()).unionByName(gone.distinct())

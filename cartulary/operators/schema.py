@@ -73,26 +73,27 @@ def relation_targets(parsed: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def relation_checks(parsed: DataFrame, relations: DataFrame) -> DataFrame:
-    """REL-CARD, REL-TARGET and REL-TYPE: (path, level, code, msg, targets)."""
+    """REL-CARD, REL-TARGET and REL-TYPE: (path, level, code, msg, targets). A target without a type has none that is wrong."""
     t = relation_targets(parsed, relations)
     base = lambda df, code, msg: df.select("path", F.lit("err").alias("level"), F.lit(code).alias("code"), msg.alias("msg"), F.array("path").alias("targets"))
     card = base(t.filter("cardinality = 'one' AND n > 1").dropDuplicates(["path", "relation"]), "REL-CARD", F.concat(F.lit("Only one target is allowed: "), "relation"))
-    known = parsed.filter("kind = 'concept'").select(F.col("path").alias("at"), F.coalesce("type", F.lit("")).alias("at_type")).dropDuplicates(["at"])
+    known = parsed.filter("kind = 'concept'").select(F.col("path").alias("at"), F.col("type").alias("at_type"), F.lit(True).alias("known")).dropDuplicates(["at"])
     met = t.filter("target IS NOT NULL").withColumn("at", rel_path("target")).join(known, "at", "left")
-    broken = base(met.filter("at_type IS NULL"), "REL-TARGET", F.concat_ws(" ", F.lit("Target is missing:"), "relation", "target"))
+    broken = base(met.filter("known IS NULL"), "REL-TARGET", F.concat_ws(" ", F.lit("Target is missing:"), "relation", "target"))
     other = met.filter(F.col("at_type").isNotNull() & (F.size("target_types") > 0) & ~F.array_contains("target_types", F.col("at_type")))
     wrong = base(other, "REL-TYPE", F.concat_ws(" ", F.lit("Target has another type:"), "relation", "target"))
     return card.unionByName(broken).unionByName(wrong)
 
 
 def broken_relations(parsed: DataFrame, relations: DataFrame) -> DataFrame:
-    """What a repair would take away: (path, relation, target, line)."""
+    """What a repair would take away: (path, relation, target, line, fix_id)."""
     known = parsed.filter("kind = 'concept'").select(F.col("path").alias("at")).distinct()
     met = relation_targets(parsed, relations).filter("target IS NOT NULL").withColumn("at", rel_path("target"))
     gone = met.join(known, "at", "left_anti")
     lines = F.posexplode(F.split(T.front_text(F.col("raw")), "\n")).alias("no", "line")
     at = gone.select("path", "relation", "target", lines).filter(F.startswith(F.ltrim("line"), F.concat("relation", F.lit(":"))))
-    return at.groupBy("path", "relation", "target").agg((F.min("no") + 2).alias("line"))
+    fix = F.concat(F.lit("fix:sha256:"), F.sha2(F.concat_ws("\x00", "path", "relation", "target"), 256))
+    return at.groupBy("path", "relation", "target").agg((F.min("no") + 2).alias("line")).withColumn("fix_id", fix)
 
 
 def blocking_relations(parsed: DataFrame, relations: DataFrame, path: str) -> DataFrame:

@@ -92,6 +92,61 @@ def write_sarif(checks: DataFrame, target: str | Path, tool: str = "cartulary")
     return n
 
 
+def report(checks: DataFrame, notes: int, block_warnings: bool = False) -> str:
+    """Errors and warnings in order of paths, a line each, and a line of numbers; for people to read."""
+    from cartulary.operators.checks import summary
+
+    s = summary(checks).first()
+    mark = F.when(F.col("level") == "err", "✗").otherwise("!")
+    rows = checks.filter("level IN ('err', 'warn')").select("path", "code", F.format_string("  %s [%s] %s: %s", mark, "code", "path", "msg").alias("line"))
+    lines = [r.line for r in rows.orderBy("path", "code", "line").toLocalIterator()]
+    verdict = "doesn't conform" if s.errors else "doesn't conform (warnings block)" if block_warnings and s.warnings else "conforms"
+    return "\n".join([*lines, "", f"{notes} notes · {s.errors} errors · {s.warnings} warnings · {verdict}"])
+
+
+def write_analysis(checks: DataFrame, concepts: DataFrame, links: DataFrame, orphans: DataFrame, dangling: DataFrame, target: str | Path) -> None:
+    """The analysis of a corpus as one JSON document, written row by row: notes, links, orphans, dangling links and
+    diagnostics, the numbers of errors and warnings, and whether it conforms."""
+    from cartulary.operators.checks import hard_fail, summary
+
+    s, h = summary(checks).first(), hard_fail(checks).first()
+    head = {"conformant": s.errors == 0, "hardFail": h.hard_fail, "errors": s.errors, "warnings": s.warnings, "infos": s.infos}
+    parts = {
+        "concepts": concepts.select("path"), "links": links.select("src", "dst"), "orphans": orphans.select("path"), "dangling": dangling.select("src", "dst"),
+        "diagnostics": checks.filter("level <> 'pass'").select("path", "level", "code", "msg"),
+    }
+    with open(target, "w", encoding="utf-8") as f:
+        f.write(json.dumps(head)[:-1])
+        for name, df in parts.items():
+            f.write(f', "{name}": [')
+            for i, r in enumerate(as_json(df.distinct().orderBy(*df.columns)).toLocalIterator()):
+                f.write((",\n" if i else "\n") + r.json)
+            f.write("]")
+        f.write("}\n")
+
+
 def append_json(df: DataFrame, folder: str) -> None:
     """Rows appended to a JSON table (audits, receipts)."""
     df.write.mode("append").json(folder)
+
+
+def audit(root: str | Path, record: dict) -> bool:
+    """One line appended to the audit log of a workspace; where that fails nothing else does."""
+    try:
+        folder = Path(root, ".cartulary/runtime")
+        folder.mkdir(parents=True, exist_ok=True)
+        with open(folder / "audit.jsonl", "a", encoding="utf-8") as f:
+            f.write(json.dumps(record, ensure_ascii=False) + "\n")
+        return True
+    except OSError:
+        return False
+
+
+def ignore(root: str | Path, lines: list[str]) -> bool:
+    """Adds lines to the root's ignore file that it lacks; whether it was written. All else in it stays."""
+    path = Path(root, ".gitignore")
+    there = path.read_text(encoding="utf-8").splitlines() if path.is_file() else []
+    new = [x for x in lines if x not in (t.strip() for t in there)]
+    if new:
+        path.write_text("\n".join([*there, *new]) + "\n", encoding="utf-8")
+    return bool(new)
