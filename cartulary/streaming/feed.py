@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cartulary.sources.parted import PartedTable, part_of
+
 CHANGES = "seq bigint, path string, op string, raw string"
 STATE = "path string, raw string, hash binary, part int"
 #: Parts by hash of the path; a batch rewrites only the parts that it touches.
-PARTS = 64
+PARTS = 32
 
 
 def state_of(files: DataFrame) -> DataFrame:
     """A whole corpus (path, raw) as state: (path, raw, hash, part)."""
-    return files.select("path", "raw", F.unhex(F.sha2("raw", 256)).alias("hash"), F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int").alias("part"))
+    return files.select("path", "raw", F.unhex(F.sha2("raw", 256)).alias("hash"), part_of("path", PARTS).alias("part"))
 
 
 def last_changes(changes: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def effects(state: DataFrame, changes: DataFrame) -> DataFrame:
     """What really changes: (path, event, raw, hash, part). Upserts of equal content and removals of absent paths have
     no effect and give no row."""
     new = last_changes(changes)
-    new = new.select("path", "op", "raw", F.unhex(F.sha2("raw", 256)).alias("hash"), F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int").alias("part"))
+    new = new.select("path", "op", "raw", F.unhex(F.sha2("raw", 256)).alias("hash"), part_of("path", PARTS).alias("part"))
     own = state.select("path", F.col("hash").alias("old"), F.lit(True).alias("was"))
     both = new.join(own, "path", "left")
     event = F.when((F.col("op") == "remove") & F.col("was"), "removed").when((F.col("op") == "upsert") & ~F.col("hash").eqNullSafe(F.col("old")), "changed")
@@ -43,68 +45,37 @@ def step(state: DataFrame, effect: DataFrame) -> DataFrame:
 class Feed:
     """The current files in ``folder`` with an event table beside them.
 
-    The state is a table of numbered versions: a batch writes the touched parts to a new folder and then points to
-    it by one small file, so a lost executor or driver leaves the version before. A batch that is delivered again finds
-    its number in the pointer and does nothing.
+    The state is a table of numbered versions. A batch that is delivered again finds its number there and does nothing.
+    Events go to a folder of their batch, so a batch that was broken off writes them anew.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        return path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def _pointer(self) -> tuple[int, dict[int, int]]:
-        """The last batch, and in which version each part stands."""
-        fs, path = self._fs()
-        names = [s.getPath().getName() for s in fs.listStatus(path(f"{self.folder}/versions"))] if fs.exists(path(f"{self.folder}/versions")) else []
-        done = [int(n.split("-")[1]) for n in names if n.startswith("batch-")]
-        if not done:
-            return -1, {}
-        rows = self.spark.read.schema("part int, version bigint").json(f"{self.folder}/versions/batch-{max(done)}").collect()
-        return max(done), {r.part: r.version for r in rows}
+        self.table = PartedTable(spark, folder, STATE, PARTS)
 
     def state(self) -> DataFrame:
-        _, at = self._pointer()
-        return self._read(at)
-
-    def _read(self, at: dict[int, int]) -> DataFrame:
-        paths = [f"{self.folder}/state/v{v}/p={p}" for p, v in sorted(at.items())]
-        return self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
+        return self.table.read()
 
     def events(self) -> DataFrame:
-        fs, path = self._fs()
         schema = "path string, event string, batch bigint"
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/events") if fs.exists(path(f"{self.folder}/events")) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/events") if self.table.exists("events") else self.spark.createDataFrame([], schema)
 
     def apply(self, changes: DataFrame, batch: int) -> None:
         """One batch of changes (seq, path, op, raw); ``op`` is upsert or remove. Nothing is written without effect."""
-        from cartulary.session import materialize
+        from cartulary.session import materialize, release
 
-        last, at = self._pointer()
-        if batch <= last:
+        if batch <= self.table.last():
             return
-        effect = materialize(effects(self._read(at), changes))
-        touched = sorted(r.part for r in effect.select("part").distinct().collect())  # at most PARTS rows
+        effect = materialize(effects(self.table.read(), changes))
+        touched = self.table.parts_of(effect)  # at most PARTS rows
         if touched:
-            before = self._read({p: v for p, v in at.items() if p in touched})
-            new = step(before, effect).withColumn("p", F.col("part"))
-            new.repartition(len(touched), "p").write.mode("overwrite").partitionBy("p").parquet(f"{self.folder}/state/v{batch}")
-            effect.select("path", "event").withColumn("batch", F.lit(batch).cast("bigint")).write.mode("append").parquet(f"{self.folder}/events")
-            fs, path = self._fs()
-            there = {p for p in touched if fs.exists(path(f"{self.folder}/state/v{batch}/p={p}"))}
-            at = {p: v for p, v in at.items() if p not in touched} | {p: batch for p in there}
-        rows = self.spark.createDataFrame([(p, v) for p, v in sorted(at.items())], "part int, version bigint")
-        rows.coalesce(1).write.mode("overwrite").json(f"{self.folder}/versions/batch-{batch}")
+            effect.select("path", "event").write.mode("overwrite").parquet(f"{self.folder}/events/batch={batch}")
+        self.table.write(batch, touched, step(self.table.read(touched), effect))
+        release(effect)
 
     def rebuild(self, files: DataFrame, batch: int = 0) -> None:
         """The state from a whole corpus, in one version."""
-        state_of(files).withColumn("p", F.col("part")).write.mode("overwrite").partitionBy("p").parquet(f"{self.folder}/state/v{batch}")
-        fs, path = self._fs()
-        at = [(p, batch) for p in range(PARTS) if fs.exists(path(f"{self.folder}/state/v{batch}/p={p}"))]
-        self.spark.createDataFrame(at, "part int, version bigint").coalesce(1).write.mode("overwrite").json(f"{self.folder}/versions/batch-{batch}")
+        self.table.write(batch, list(range(PARTS)), state_of(files))
 
     def follow(self, changes: DataFrame, every: str = "250 milliseconds", once: bool = False) -> StreamingQuery:
         """Applies a stream of changes (seq, path, op, raw). ``once``: what is there now, then ends."""
