@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from cartulary.operators import links as L
 from cartulary.operators import revisions as R
 from cartulary.operators import schema as S
 from cartulary.operators import search
-from cartulary.session import shared_dir
+from cartulary.session import materialize, shared_dir
 from cartulary.sources import corpus, sinks
 from cartulary.streaming.feed import Feed
 
@@ -31,7 +31,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 class Tables:
-    """The tables of one folder as a corpus: parsed notes, their own links, the link table."""
+    """The tables of one folder as a corpus: parsed notes, their own links, the link table.
+
+    Repeated rows of a file stay in: what is made of them is made distinct in the end, when it is narrow, so no texts
+    are exchanged. ``rows`` is for what counts within the texts.
+    """
 
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d = spark, d
@@ -42,20 +46,24 @@ class Tables:
 
     @property
     def parsed(self) -> DataFrame:
-        return parse_files(self.files).dropDuplicates(["path"])
+        return parse_files(self.files)
+
+    @cached_property
+    def ruled(self) -> DataFrame:
+        """What checks need of each parsed note, with the rules of single notes; parsed once and without its texts."""
+        return materialize(C.with_rules(self.parsed).select("path", "kind", "fm_error", "type", "status", "pairs", "rules"))
 
     @property
     def concepts(self) -> DataFrame:
-        return self.rows.filter("kind = 'concept'")
+        return self.files.filter("kind = 'concept'")
 
     @property
     def edges(self) -> DataFrame:
         return graph.graph_edges(self.links, self.concepts)
 
-    @property
+    @cached_property
     def checks(self) -> DataFrame:
-        p = self.parsed
-        return C.analyze(p, self.links).unionByName(S.schema_checks(p, self.types))
+        return C.analyze(self.ruled, self.links).unionByName(S.schema_checks(self.ruled, self.types))
 
 
 _FRONT = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
@@ -92,7 +100,7 @@ def query(sql: str | None = None):
 
 @query(_WITH + "SELECT path, kind, type, title, description, status, resource FROM f")
 def parsed_fields(t):
-    return t.parsed.select("path", "kind", "type", "title", "description", "status", "resource")
+    return t.parsed.select("path", "kind", "type", "title", "description", "status", "resource").distinct()
 
 
 @query(
@@ -103,7 +111,7 @@ def parsed_fields(t):
           FROM f WHERE kind = 'concept'"""
 )
 def title_fallback(t):
-    return t.concepts.select("path", F.coalesce(F.nullif("title", F.lit("")), P.title_from_path("path")).alias("title"))
+    return t.concepts.select("path", F.coalesce(F.nullif("title", F.lit("")), P.title_from_path("path")).alias("title")).distinct()
 
 
 _OUT = r"""
@@ -121,12 +129,12 @@ _OUT = r"""
 
 @query(f"WITH {_F}, {_OUT} SELECT src, dst, href, src_is_index FROM ol")
 def out_links(t):
-    return L.out_links(t.rows)
+    return L.out_links(t.files)
 
 
 @query(f"WITH {_F}, {_OUT} SELECT count(*) AS links FROM ol")
 def links_count(t):
-    return L.out_links(t.rows).agg(F.count("*").alias("links"))
+    return L.out_links(t.files).agg(F.count("*").alias("links"))
 
 
 @query(
@@ -135,7 +143,7 @@ def links_count(t):
           lambda h: regexp_matches(h, '^\.{1,2}/') AND contains(h, '.md')) AS x FROM f) WHERE len(x) > 0"""
 )
 def relative_links(t):
-    return t.rows.select("path", F.size(T.relative_hrefs(F.col("body"))).cast("bigint").alias("n")).filter("n > 0")
+    return t.files.select("path", F.size(T.relative_hrefs(F.col("body"))).cast("bigint").alias("n")).filter("n > 0").distinct()
 
 
 @query(_WITH + "SELECT path FROM idx")
@@ -145,17 +153,17 @@ def in_index(t):
 
 @query(_WITH + f"SELECT src, min(href) AS href FROM links WHERE dst = '{GLOSSARY}' AND src IN (SELECT path FROM f) GROUP BY src")
 def backlinks(t):
-    return L.backlinks(t.links, t.rows, GLOSSARY)
+    return L.backlinks(t.links, t.files, GLOSSARY)
 
 
 @query(_WITH + "SELECT dst AS path, count(*) AS n FROM nl GROUP BY dst")
 def inbound_degree(t):
-    return L.inbound(t.links, t.rows)
+    return L.inbound(t.links, t.files)
 
 
 @query(_WITH + "SELECT path FROM orph")
 def orphans(t):
-    return L.orphans(t.links, t.rows)
+    return L.orphans(t.links, t.files)
 
 
 _DANGLING = "SELECT l.src, l.dst FROM l JOIN f a ON a.path = l.src AND a.kind = 'concept' LEFT JOIN f b ON b.path = l.dst WHERE b.path IS NULL OR b.kind = 'log'"
@@ -163,7 +171,7 @@ _DANGLING = "SELECT l.src, l.dst FROM l JOIN f a ON a.path = l.src AND a.kind =
 
 @query(_WITH + _DANGLING)
 def dangling(t):
-    return L.dangling(t.links, t.rows)
+    return L.dangling(t.links, t.files)
 
 
 _STUB = """SELECT a.path, string_agg(l.dst, ' ' ORDER BY l.dst) AS targets FROM l JOIN f a ON a.path = l.src AND a.kind = 'concept'
@@ -172,7 +180,7 @@ _STUB = """SELECT a.path, string_agg(l.dst, ' ' ORDER BY l.dst) AS targets FROM
 
 @query(_WITH + _STUB)
 def link_stubs(t):
-    return L.missing_targets(t.links, t.rows).select("path", F.array_join("targets", " ").alias("targets"))
+    return L.missing_targets(t.links, t.files).select("path", F.array_join("targets", " ").alias("targets"))
 
 
 _RULES = {
@@ -229,7 +237,7 @@ def _rule(code: str, level: str, sql: str) -> None:
 
     def run(spark, d):
         t = Tables(spark, d)
-        p = t.parsed
+        p = t.parsed if code not in ("ORPHAN", "LINK-STUB") and not code.startswith("SCHEMA") else t.ruled
         if code in ("ORPHAN", "LINK-STUB"):
             every = C.graph_checks(p, t.links)
         else:
@@ -245,7 +253,7 @@ for _code, (_level, _sql) in _RULES.items():
 
 @query(_WITH + _REQ)
 def check_schema_reqfield(t):
-    c = S.schema_checks(t.parsed, t.types).filter("code = 'SCHEMA-REQFIELD'")
+    c = S.schema_checks(t.ruled, t.types).filter("code = 'SCHEMA-REQFIELD'")
     return c.select("path", F.regexp_extract("msg", "[^ ]*$", 0).alias("field"))
 
 
@@ -285,8 +293,8 @@ def workspace_status(t):
     counted = {
         "concepts": t.concepts,
         "links": t.links.filter("dst IS NOT NULL").select("src", "dst").distinct(),
-        "orphans": L.orphans(t.links, t.rows),
-        "dangling": L.dangling(t.links, t.rows),
+        "orphans": L.orphans(t.links, t.files),
+        "dangling": L.dangling(t.links, t.files),
     }
     rows = [df.agg(F.count("*").alias("n")).withColumn("what", F.lit(name)) for name, df in counted.items()]
     return reduce(DataFrame.unionByName, rows).agg(*(F.sum(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in counted))
@@ -325,12 +333,12 @@ def _dsl(name: str, text: str, where: str) -> None:
         p = t.parsed
         own = {}
         if "orphan" in need:
-            own["orphan"] = L.orphans(t.links, t.rows)
+            own["orphan"] = L.orphans(t.links, t.files)
         if "linked" in need:
-            own["linked"] = L.inbound(t.links, t.rows)
+            own["linked"] = L.inbound(t.links, t.files)
         if "invalid" in need:
             own["invalid"] = t.checks.filter("level = 'err'")
-        return search.select(p, text, **own).select("path")
+        return search.select(p, text, **own).select("path").distinct()
 
     QUERIES[name], SQL[name] = run, _WITH + f"SELECT path FROM e WHERE {where}"
 
@@ -347,7 +355,7 @@ def _hits(t, text):
 
 @query(_WITH + f"SELECT path, {_SCORE.format('cursor')} AS score FROM e WHERE kind = 'concept' AND {_LOOSE.format('cursor')}")
 def search_score(t):
-    return _hits(t, "cursor").select("path", "score")
+    return _hits(t, "cursor").select("path", "score").distinct()
 
 
 _PAGE = _WITH + f"SELECT path, {_SCORE.format('cursor')} AS score FROM e WHERE kind = 'concept' AND {_LOOSE.format('cursor')} ORDER BY score DESC, path LIMIT 20 OFFSET "
@@ -355,22 +363,22 @@ _PAGE = _WITH + f"SELECT path, {_SCORE.format('cursor')} AS score FROM e WHERE k
 
 @query(_PAGE + "0")
 def search_topk(t):
-    return search.page(_hits(t, "cursor"))[0].select("path", "score")
+    return search.page(_hits(t, "cursor").select("path", "score").distinct())[0].select("path", "score")
 
 
 @query(_PAGE + "20")
 def search_page2(t):
-    return search.page(_hits(t, "cursor"), 20, search.cursor_of(20))[0].select("path", "score")
+    return search.page(_hits(t, "cursor").select("path", "score").distinct(), 20, search.cursor_of(20))[0].select("path", "score")
 
 
 @query()
 def search_snippets(t):
-    return _hits(t, "cursor").select("path", "title", "snippet")
+    return _hits(t, "cursor").select("path", "title", "snippet").distinct()
 
 
 @query(_WITH + "SELECT path FROM f WHERE kind = 'concept' AND lower(type) IN ('componente', 'minuta') AND lower(status) = 'estable' AND starts_with(path, 'b')")
 def search_filters(t):
-    return search.narrowed(t.parsed, ["Componente", "MINUTA"], ["estable"], prefix="b").select("path")
+    return search.narrowed(t.parsed, ["Componente", "MINUTA"], ["estable"], prefix="b").select("path").distinct()
 
 
 @query(
@@ -444,7 +452,7 @@ def neighborhood_edges(t):
 )
 def blast_radius(t):
     roots = t.spark.createDataFrame([(GLOSSARY,)], "node string")
-    edges = L.note_links(t.links, t.rows)
+    edges = L.note_links(t.links, t.files)
     return graph.reach(edges, roots, "in").filter(F.col("distance") > 0).select("node")
 
 
@@ -487,7 +495,7 @@ def shortest_path(t):
 )
 def impact_direct(t):
     n = F.col("n")
-    return L.inbound(t.links, t.rows).select("path", n.alias("direct"), F.when(n >= 20, "high").when(n >= 5, "medium").otherwise("low").alias("risk"))
+    return L.inbound(t.links, t.files).select("path", n.alias("direct"), F.when(n >= 20, "high").when(n >= 5, "medium").otherwise("low").alias("risk"))
 
 
 # --- derived pages, revisions, changes -----------------------------------------------------------------------------
@@ -543,7 +551,7 @@ def page_drift(t):
 
 @query(_WITH + "SELECT path, 'sha256:' || sha256(raw) AS revision FROM f")
 def concept_revisions(t):
-    return t.rows.select("path", R.concept_revision(F.col("raw")).alias("revision"))
+    return t.files.select("path", R.concept_revision(F.col("raw")).alias("revision")).distinct()
 
 
 _PART = "sum(('0x' || substr(r, {0}, 15))::BIGINT)::HUGEINT::VARCHAR"
@@ -594,10 +602,20 @@ def note_tags(t):
     return G.note_tags(t.parsed)
 
 
-@query()
+@query(
+    _WITH
+.rstrip()
+    + r""", ls AS (SELECT path, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS no, len(body) AS size FROM (SELECT path, body, string_split(body, E'\n') AS x FROM f)),
+          hl AS (SELECT path, no, size, rtrim(line, E'\r') AS line, coalesce(sum(len(line) + 1) OVER w, 0) AS start, len(line) + 1 AS own, starts_with(ltrim(rtrim(line, E'\r'), E' \t\f' || chr(11)), '```') AS fence,
+                   coalesce(sum(starts_with(ltrim(rtrim(line, E'\r'), E' \t\f' || chr(11)), '```')::INT) OVER w, 0) AS fences
+                 FROM ls WINDOW w AS (PARTITION BY path ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+          hs AS (SELECT *, len(regexp_extract(line, '^#+')) AS level FROM hl WHERE NOT fence AND fences % 2 = 0 AND regexp_matches(line, '^#{1,6}[ \t]'))
+          SELECT path, level::INT AS level, trim(line[level + 1:], E' \t\f' || chr(11) || chr(160)) AS title, no::INT AS line, start::INT AS start, least(start + own, size)::INT AS content,
+                 coalesce((SELECT min(y.start) FROM hs y WHERE y.path = x.path AND y.no > x.no AND y.level <= x.level), size)::INT AS end FROM hs x"""
+)
 def headings(t):
-    own = t.rows.select("path", F.explode(parse_headings(F.col("body"))).alias("h"))
-    return own.select("path", "h.*")
+    own = t.files.select("path", F.explode(parse_headings(F.col("body"))).alias("h"))
+    return own.select("path", "h.*").distinct()
 
 
 @query()
@@ -611,11 +629,12 @@ def synthetic_links(t):
 
 
 @query(
-    f"WITH {_F}, {_OUT} SELECT src AS path, 'write' AS op FROM ol WHERE dst = '{GLOSSARY}' UNION ALL SELECT '{GLOSSARY}', 'delete' UNION ALL SELECT 'comun/moved.md', 'write'"
+    f"""WITH {_F}, {_OUT} SELECT src AS path, 'write' AS op FROM ol JOIN f ON path = src AND kind = 'concept' WHERE dst = '{GLOSSARY}'
+        UNION ALL SELECT '{GLOSSARY}', 'delete' UNION ALL SELECT 'comun/moved.md', 'write'"""
 )
 def plan_move(t):
-    planner = plan.Planner(t.rows.select("path", "raw"))
-    return planner.mutation([{"op": "move", "path": GLOSSARY, "to": "comun/moved.md"}]).select("path", "op")
+    planner = plan.Planner(t.files)
+    return planner.mutation([{"op": "move", "from": GLOSSARY, "to": "comun/moved.md", "rewriteInboundLinks": True}]).select("path", "op")
 
 
 def _snapshot(t, n: int) -> DataFrame:

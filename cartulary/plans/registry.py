@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.operators import references, snapshots
-from cartulary.plans import notes
+from cartulary.plans import notes, states
+from cartulary.session import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +43,17 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return references.orphan_report(_orphans(spark, d))
 
 
+def p6_state(spark: SparkSession, d: str) -> DataFrame:
+    """Orphan keys after the last delivery, from counts that each delivery's delta has added to and taken from."""
+    snaps, taken = table(spark, d, "file_snapshots"), table(spark, d, "snapshots")
+    deltas = materialize(references.present_deltas(snaps, taken, table(spark, d, "links")))
+    state = references.ReferenceState(spark, f"{shared_dir(spark)}/cartulary-references-{uuid.uuid4().hex}")
+    last = taken.agg(F.max("snap_no")).first()[0] or 0
+    for n in range(1, last + 1):
+        state.apply(n, deltas.filter(F.col("snap_no") == n).drop("snap_no"))
+    return references.orphan_keys(state.counts()).select("path", "refs", "reason")
+
+
 _P6 = """
     SELECT l.link_id, l.side, min(l.seen_at) AS seen_at,
            CASE WHEN f.path IS NOT NULL THEN 'late' WHEN h.path IS NOT NULL THEN 'deleted' ELSE 'missing' END AS reason
@@ -62,7 +75,20 @@ _P4 = """
                 FROM unnest(json_keys(f)) t(k)), '[]') END AS j
       FROM one)"""
 
+_RUNS = """
+    r AS (SELECT path, min(snap_no) AS first, max(snap_no) AS last FROM (
+            SELECT path, snap_no, snap_no - row_number() OVER (PARTITION BY path ORDER BY snap_no) AS run
+            FROM (SELECT DISTINCT path, snap_no FROM file_snapshots WHERE path IS NOT NULL AND snap_no IS NOT NULL)) GROUP BY path, run),
+    m AS (SELECT max(snap_no) AS m FROM snapshots),
+    now AS (SELECT path, taken_at AS came FROM r JOIN snapshots s ON s.snap_no = r.first WHERE last = (SELECT m FROM m))"""
+
 SQL_P = {
+    "p6_state": f"""WITH {_RUNS},
+      refs AS (SELECT dst AS path, count(*) AS refs, min(seen_at) AS first_ref FROM (
+                 SELECT link_id, src, dst, min(seen_at) AS seen_at FROM links WHERE src IN (SELECT path FROM now) AND dst IS NOT NULL GROUP BY ALL) GROUP BY dst)
+      SELECT * FROM (SELECT f.path, f.refs, CASE WHEN n.path IS NOT NULL THEN CASE WHEN n.came > f.first_ref THEN 'late' END
+                WHEN f.path IN (SELECT path FROM r WHERE last < (SELECT m FROM m)) THEN 'deleted' ELSE 'missing' END AS reason
+             FROM refs f LEFT JOIN now n ON n.path = f.path) WHERE reason IS NOT NULL""",
     "p4_found": f"""{_P4}
       SELECT coalesce(b.snap_no, a.snap_no + 1)::INT AS snap_no, coalesce(b.path, a.path) AS path,
              CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'changed' END AS change
@@ -75,8 +101,8 @@ SQL_P = {
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_intervals": p4_intervals, "p6_found": p6_found, "p6_report": p6_report} | notes.QUERIES
+    return {"p4_found": p4_found, "p4_intervals": p4_intervals, "p6_found": p6_found, "p6_report": p6_report, "p6_state": p6_state} | notes.QUERIES | states.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL_P | notes.SQL
+    return SQL_P | notes.SQL | states.SQL
