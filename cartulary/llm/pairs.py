@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
-from cartulary.session import materialize, skew_safe_join
+from cartulary.session import materialize, skew_safe_join, small_or_not
 
 #: Items that a block of a basket holds about; larger baskets are paired block by block.
 BLOCK = 256
@@ -39,8 +39,8 @@ def cooccurrence(
     Columns: a, b (a < b), both, n_a, n_b, n (baskets with any item), lift (both * n / (n_a * n_b)), pmi (its binary
     logarithm). Items count once a basket; null baskets, null and blank items don't count. ``form``: items are compared
     in plain form. Items of fewer than ``least`` baskets can't be in a pair and are left out before pairing. Large
-    baskets are split by hash into blocks that are paired with one another, so no basket is ever gathered whole; counts
-    are combined before the exchange. The result is exact. An empty table gives no rows.
+    baskets are split by hash into blocks that are paired with one another, so no basket is ever gathered whole; items
+    are paired as numbers and counts combined before the exchange. The result is exact. An empty table gives no rows.
     """
     rows = df.select(F.col(basket).alias("basket"), F.col(item).alias("raw")).filter("basket IS NOT NULL AND raw IS NOT NULL")
     if form:  # each different value is brought to its form once
@@ -51,31 +51,35 @@ def cooccurrence(
     else:
         one = rows.withColumn("item", F.nullif(F.trim("raw"), F.lit(""))).filter("item IS NOT NULL")
     one = materialize(one.select("basket", "item").distinct())
-    n = one.select("basket").distinct().count()
-    marginal = materialize(one.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= least))
-    kept = one.join(marginal.select("item"), "item", "left_semi")
-    size = kept.groupBy("basket").agg(F.count("*").alias("m")).filter("m > 1")
-    blocks = F.ceil(F.col("m") / F.lit(block))
+    marginal = materialize(one.groupBy("item").agg(F.count("*").alias("n")).filter(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()))
+    ids = small_or_not(marginal.select("item", "id"))
+    sizes = materialize(one.join(ids, "item", "left").groupBy("basket").agg(F.count("id").alias("m")))
+    n, total = sizes.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
     # m decides alone, so a small basket is one block and isn't joined with anything
-    sized = kept.join(size, "basket").withColumn("blocks", blocks.cast("int"))
-    ordered = lambda x, y: F.explode(F.expr(f"flatten(transform({x}, p -> transform(filter({y}, q -> q > p), q -> struct(p AS a, q AS b))))"))
+    sized = skew_safe_join(one.join(ids, "item").select("basket", "id"), sizes.filter("m > 1"), "basket", "m", total)
+    sized = sized.withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int"))
+    ordered = lambda x, y: F.explode(F.expr(f"flatten(transform({x}, p -> transform(filter({y}, q -> q > p), q -> struct(p AS x, q AS y))))"))
     small = (
-        sized.filter("blocks = 1").groupBy("basket").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        sized.filter("blocks = 1").groupBy("basket").agg(F.collect_list("id").alias("items"))
         .select(ordered("items", "items").alias("t"))
     )
     part = (
         sized.filter("blocks > 1")
-        .withColumn("i", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+        .withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .groupBy("basket", "blocks", "i")
-        .agg(F.collect_list("item").alias("items"))
+        .agg(F.collect_list("id").alias("items"))
     )
     x = part.select("basket", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.col("items").alias("x"))
     y = part.select("basket", F.col("i").alias("j"), F.col("items").alias("y"))
-    # every ordered couple of blocks meets once; keeping a < b gives each pair once
+    # every ordered couple of blocks meets once; keeping x < y gives each pair once
     large = x.join(y, ["basket", "j"]).select(ordered("x", "y").alias("t"))
-    pairs = small.unionByName(large).select("t.a", "t.b").groupBy("a", "b").agg(F.count("*").alias("both")).filter(F.col("both") >= least)
-    for k in "ab":
-        pairs = pairs.join(marginal.select(F.col("item").alias(k), F.col("n").alias(f"n_{k}")), k)
+    pairs = small.unionByName(large).select("t.x", "t.y").groupBy("x", "y").agg(F.count("*").alias("both")).filter(F.col("both") >= least)
+    names = small_or_not(marginal)
+    for k in "xy":
+        pairs = pairs.join(names.select(F.col("id").alias(k), F.col("item").alias(f"item_{k}"), F.col("n").alias(f"n_{k}")), k)
+    turned = F.col("item_x") > F.col("item_y")
+    own = lambda k, first, second: F.when(turned, F.col(f"{k}_{second}")).otherwise(F.col(f"{k}_{first}"))
+    pairs = pairs.select(own("item", "x", "y").alias("a"), own("item", "y", "x").alias("b"), "both", own("n", "x", "y").alias("n_a"), own("n", "y", "x").alias("n_b"))
     lift = F.col("both") * F.lit(float(n)) / (F.col("n_a").cast("double") * F.col("n_b"))
     return pairs.select("a", "b", "both", "n_a", "n_b", F.lit(n).cast("bigint").alias("n"), lift.alias("lift"), F.log2(lift).alias("pmi"))
 
