@@ -54,10 +54,12 @@ def index_pages(parsed: DataFrame) -> DataFrame:
     return pages.select(F.concat("dir", F.lit(P.INDEX)).alias("path"), F.concat(F.regexp_replace(F.concat(head, "text"), r"\n+\z", ""), F.lit("\n")).alias("content"))
 
 
-def note_tags(parsed: DataFrame) -> DataFrame:
-    """Distinct (path, tag): entries of lists and single values, trimmed; blank ones are left out."""
+def note_tags(parsed: DataFrame, lists_only: bool = False) -> DataFrame:
+    """Distinct (path, tag): entries of lists, and single values unless ``lists_only``, trimmed; blank ones are left out."""
     pair = F.get(F.filter("pairs", lambda p: p["key"] == "tags"), F.lit(0))
-    items = F.when(pair["tag"] == "list", pair["items"]).when(pair["tag"].isin("str", "num", "bool"), F.array(pair["scalar"]))
+    items = F.when(pair["tag"] == "list", pair["items"])
+    if not lists_only:
+        items = items.when(pair["tag"].isin("str", "num", "bool"), F.array(pair["scalar"]))
     tags = parsed.filter("kind = 'concept'").select("path", F.explode(items).alias("tag"))
     return tags.select("path", F.regexp_replace("tag", r"(?U)^\s+|\s+$", "").alias("tag")).filter("tag <> ''").distinct()
 

@@ -298,3 +298,20 @@ def drifted_pages(t):
     from cartulary.operators import generate as G
 
     return G.drift(t.files, G.index_pages(t.parsed)).filter("what <> 'stale'")
+
+
+@query(
+    _WITH + """SELECT DISTINCT path, trim(tag, E' \\t\\r\\n' || chr(160)) AS tag FROM (SELECT path, unnest((fm ->> '$.tags[*]')::VARCHAR[]) AS tag
+            FROM ok WHERE json_type(fm, '$.tags') = 'ARRAY') WHERE trim(tag, E' \\t\\r\\n' || chr(160)) <> ''"""
+)
+def note_tag_lists(t):
+    from cartulary.operators import generate as G
+
+    return G.note_tags(t.parsed, lists_only=True)
+
+
+@query(_WITH + "SELECT path FROM f WHERE title IS NOT NULL OR (status IS NULL AND kind = 'concept') UNION ALL SELECT 'comun/nuevo.md'")
+def dirty_paths(t):
+    from cartulary.sources import corpus
+
+    return corpus.dirty(_before(t), _after(t))

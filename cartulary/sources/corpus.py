@@ -36,20 +36,46 @@ def _ignore_pattern(line: str) -> str | None:
     return ("^" if rooted else "^(?:.*/)?") + out + ("/.*$" if folder else "(?:/.*)?$")
 
 
-def ignored(path: Column, lines: list[str]) -> Column:
-    """Whether the last ignore line that fits a path ignores it (``!`` takes it back)."""
+def ignored(path: Column, lines: list[str] | dict[str, list[str]]) -> Column:
+    """Whether the last ignore line that fits a path ignores it (``!`` takes it back).
+
+    ``lines`` are those of the root, or of each folder (with its slash at the end, '' for the root); the lines of a folder
+    count for what lies in it and come after those of the folders above.
+    """
     out = F.lit(False)
-    for line in lines:
-        keep = line.startswith("!")
-        pattern = _ignore_pattern(line[keep:])
-        if pattern:
-            out = F.when(path.rlike(pattern), not keep).otherwise(out)
+    by_folder = lines if isinstance(lines, dict) else {"": lines}
+    for folder in sorted(by_folder, key=lambda f: (f.count("/"), f)):
+        for line in by_folder[folder]:
+            keep = line.startswith("!")
+            pattern = _ignore_pattern(line[keep:])
+            if pattern:
+                fits = F.startswith(path, F.lit(folder)) & F.substr(path, F.lit(len(folder) + 1)).rlike(pattern)
+                out = F.when(fits, not keep).otherwise(out)
+    return out
+
+
+def ignore_files(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Lines of every ignore file under an address, by folder; listed by the driver like the files themselves."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.makeQualified(base).toString().rstrip("/") + "/"
+    found, out = fs.listFiles(base, True), {}
+    while found.hasNext():
+        p = found.next().getPath()
+        if p.getName() == ".gitignore":
+            stream = fs.open(p)
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            out[p.toString().removeprefix(top).removesuffix(".gitignore")] = text.splitlines()
     return out
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Markdown files under ``root``: (path, raw, mtime, size). Hidden files count, skipped folders and what the root's
-    ignore file names don't; files that aren't UTF-8 and invalid paths are left out.
+    """Markdown files under ``root``: (path, raw, mtime, size). Hidden files count, skipped folders and what
+    ignore files name, at the root or below, don't; files that aren't UTF-8 and invalid paths are left out.
 
     A mounted folder is listed by the driver, as Spark's own sources do, and read by the executors. Any other address is
     left to Spark's binary file source, which passes over names that begin with a dot or an underscore.
@@ -63,14 +89,15 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
             F.try_validate_utf8(F.col("content").cast("string")).alias("raw"),
             F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"),
         )
-        lines: list[str] = []
+        lines = ignore_files(spark, base)
     else:
-        names = []
+        names, lines = [], {}
         for folder, below, files in os.walk(base):
             below[:] = sorted(d for d in below if d not in SKIPPED)
             names += [os.path.relpath(os.path.join(folder, f), base) for f in files if f.endswith(".md")]
-        ignore = Path(base, ".gitignore")
-        lines = ignore.read_text(encoding="utf-8").splitlines() if ignore.is_file() else []
+            if ".gitignore" in files:
+                within = "" if folder == base else os.path.relpath(folder, base).replace(os.sep, "/") + "/"
+                lines[within] = Path(folder, ".gitignore").read_text(encoding="utf-8").splitlines()
         parts = max(1, min(len(names) // 500 + 1, 10 * spark.sparkContext.defaultParallelism))
         listed = spark.createDataFrame(pd.DataFrame({"path": pd.Series(names, dtype="object")}), "path string").repartition(parts)
         rows = listed.mapInArrow(_reader(base), "path string, raw string, mtime bigint, size bigint")
@@ -130,6 +157,20 @@ def at_version(df: DataFrame, version: Any, column: str = "version") -> DataFram
     return df.filter(F.col(column) == F.lit(version)).drop(column)
 
 
+def staged(df: DataFrame, stage: str = "stage") -> DataFrame:
+    """The state that is staged for a commit: rows of stage 0; other stages are conflicts and raise a ValueError."""
+    conflicts = [r[0] for r in df.filter(F.col(stage) != 0).select("path").distinct().orderBy("path").limit(20).collect()]
+    if conflicts:
+        raise ValueError(f"unresolved conflicts: {', '.join(conflicts)}")
+    return df.filter(F.col(stage) == 0).drop(stage)
+
+
+def dirty(head: DataFrame, working: DataFrame) -> DataFrame:
+    """Paths of (path, raw) states whose text differs, or that only one has: (path)."""
+    a, b = head.select("path", F.col("raw").alias("a")), working.select("path", F.col("raw").alias("b"))
+    return a.join(b, "path", "full").filter("NOT (a <=> b)").select("path")
+
+
 def versions(df: DataFrame, limit: int = 20, column: str = "version", order: str = "taken_at") -> DataFrame:
     """The latest versions, newest first."""
     return df.select(column, order).distinct().orderBy(F.desc(order)).limit(limit)

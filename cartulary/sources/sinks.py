@@ -56,6 +56,11 @@ def apply(root: str | Path, current: DataFrame, mutation: DataFrame) -> dict[str
     return counts
 
 
+def import_files(root: str | Path, current: DataFrame, files: DataFrame) -> dict[str, int]:
+    """Writes all of ``files`` (path, raw), as ``corpus.scan`` or ``corpus.scan_zip`` gives them, that differ below ``root``."""
+    return apply(root, current, files.select("path", F.lit("write").alias("op"), F.col("raw").alias("content")))
+
+
 def export_zip(files: DataFrame, target: str | Path) -> int:
     """All files as one archive in order of their paths; returns their number."""
     n = 0

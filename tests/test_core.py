@@ -564,6 +564,37 @@ def test_sources_from_tables(spark):
     assert one(spark, *(corpus.ignored(F.lit(n), lines) for n in names)) == tuple(names.values())
 
 
+def test_staged_state_and_import(spark, tmp_path):
+    df = spark.createDataFrame([("a.md", "1", 0), ("b.md", "2", 0)], "path string, raw string, stage int")
+    assert paths(corpus.staged(df)) == ["a.md", "b.md"] and corpus.staged(df).columns == ["path", "raw"]
+    with pytest.raises(ValueError, match="b.md"):
+        corpus.staged(df.union(spark.createDataFrame([("b.md", "3", 2)], df.schema)))
+    (tmp_path / "a.md").write_text("1")
+    now = corpus.scan(spark, str(tmp_path))
+    assert sinks.import_files(tmp_path, now, df) == {"written": 1, "removed": 0, "unchanged": 1} and (tmp_path / "b.md").read_text() == "2"
+    now = corpus.scan(spark, str(tmp_path))
+    assert paths(corpus.dirty(now, df)) == [] and paths(corpus.dirty(now.limit(0), df)) == ["a.md", "b.md"]
+
+
+def test_two_walks_to_what_refers_to_a_note_agree(spark):
+    rnd = random.Random(8)
+    edges = sorted({(f"n{rnd.randrange(12)}.md", f"n{rnd.randrange(12)}.md") for _ in range(20)})
+    notes = spark.createDataFrame([(f"n{i}.md", "concept") for i in range(12)], "path string, kind string")
+    links = spark.createDataFrame(edges, "src string, dst string")
+    root = spark.createDataFrame([("n1.md",)], "node string")
+    by_links = {tuple(r) for r in graph.reach(L.note_links(links, notes), root, "in").collect()}
+    by_graph = {tuple(r) for r in graph.neighborhood(graph.graph_edges(links, notes), "n1.md", 20, "in")[0].collect()}
+    assert by_links == by_graph and {n for n, _ in by_links} == brute_reach([(b, a) for a, b in edges], "n1.md") | {"n1.md"}
+
+
+def test_ignore_files_of_folders(spark, tmp_path):
+    for name, text in {".gitignore": "*.tmp.md\n/out/\n", "a/.gitignore": "!keep.tmp.md\n/x.md\n", "a/x.md": "1", "a/b/x.md": "2", "a/keep.tmp.md": "3", "keep.tmp.md": "4", "out/o.md": "5", "a/out/o.md": "6"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert paths(corpus.scan(spark, str(tmp_path))) == ["a/b/x.md", "a/keep.tmp.md", "a/out/o.md"]
+    assert corpus.ignore_files(spark, str(tmp_path)) == {"": ["*.tmp.md", "/out/"], "a/": ["!keep.tmp.md", "/x.md"]}
+
+
 def test_effects_of_mutations(spark, tmp_path):
     now = corpus_of(spark, a="1", b="2")
     m = spark.createDataFrame([("a.md", "write", "1"), ("b.md", "write", "3"), ("n.md", "write", ""), ("none.md", "delete", None)], plan.MUTATION)
