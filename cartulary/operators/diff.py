@@ -22,41 +22,38 @@ LINES = ArrayType(StructType([StructField("op", StringType()), StructField("text
 
 
 def line_diff(a: str, b: str) -> list[tuple[str, str]]:
-    """Lines of ``a`` and ``b`` as equal, del and add along a longest common subsequence.
+    """Lines of ``a`` and ``b`` as equal, del and add along a longest common subsequence, lines that are equal as early
+    and deletions before additions.
 
-    Rows of the table of lengths are computed at once; equal heads and tails are taken off first. Beyond the guard what
-    is left is all deleted and all added.
+    Rows of the table of lengths are computed at once; an equal head is taken off first. Texts whose table would be
+    larger than the guard are all deleted and all added.
     """
     x, y = a.split("\n"), b.split("\n")
+    if len(x) * len(y) > MOST_CELLS:
+        return [*(("del", t) for t in x), *(("add", t) for t in y)]
     head = 0
     while head < min(len(x), len(y)) and x[head] == y[head]:
         head += 1
-    tail = 0
-    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
-        tail += 1
-    p, q = x[head : len(x) - tail], y[head : len(y) - tail]
+    p, q = x[head:], y[head:]
     mid: list[tuple[str, str]] = []
-    if len(p) * len(q) > MOST_CELLS:
-        mid = [("del", t) for t in p] + [("add", t) for t in q]
-    else:
-        number: dict[str, int] = {}
-        u, v = (np.array([number.setdefault(t, len(number)) for t in z], np.int64) for z in (p, q))
-        best = np.zeros((len(p) + 1, len(q) + 1), np.int32)  # best[i, j]: of what follows i and j
-        for i in range(len(p) - 1, -1, -1):
-            row = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (v == u[i]))
-            best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-        i = j = 0
-        while i < len(p) or j < len(q):
-            if i < len(p) and j < len(q) and u[i] == v[j]:
-                mid.append(("equal", p[i]))
-                i, j = i + 1, j + 1
-            elif j == len(q) or (i < len(p) and best[i + 1, j] >= best[i, j + 1]):
-                mid.append(("del", p[i]))
-                i += 1
-            else:
-                mid.append(("add", q[j]))
-                j += 1
-    return [*(("equal", t) for t in x[:head]), *mid, *(("equal", t) for t in x[len(x) - tail :])]
+    number: dict[str, int] = {}
+    u, v = (np.array([number.setdefault(t, len(number)) for t in z], np.int64) for z in (p, q))
+    best = np.zeros((len(p) + 1, len(q) + 1), np.int32)  # best[i, j]: of what follows i and j
+    for i in range(len(p) - 1, -1, -1):
+        row = np.maximum(best[i + 1, :-1], best[i + 1, 1:] + (v == u[i]))
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    i = j = 0
+    while i < len(p) or j < len(q):
+        if i < len(p) and j < len(q) and u[i] == v[j]:
+            mid.append(("equal", p[i]))
+            i, j = i + 1, j + 1
+        elif j == len(q) or (i < len(p) and best[i + 1, j] >= best[i, j + 1]):
+            mid.append(("del", p[i]))
+            i += 1
+        else:
+            mid.append(("add", q[j]))
+            j += 1
+    return [*(("equal", t) for t in x[:head]), *mid]
 
 
 def collapse(lines: list[tuple[str, str]], context: int = CONTEXT) -> list[tuple[str, str]]:
@@ -98,8 +95,9 @@ def file_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def with_lines(diff: DataFrame) -> DataFrame:
-    """Line differences of the modified files that aren't generated: (path, lines)."""
-    return diff.filter("change = 'modified' AND NOT generated").select("path", _lines("before", "after").alias("lines"))
+    """Line differences between the bodies of files that aren't generated: (path, lines). A file that isn't there has an empty one."""
+    body = lambda c: T.body_text(F.coalesce(c, F.lit("")))
+    return diff.filter("NOT generated").select("path", _lines(body("before"), body("after")).alias("lines"))
 
 
 def stats(diff: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def diff_links(t):
 
 @query(
     _WITH + """SELECT path, unnest(CASE WHEN n > 4 THEN ['equal', 'gap', 'add'] ELSE ['equal', 'add'] END) AS op,
-            unnest(CASE WHEN n > 4 THEN [2, 1, 3] ELSE [n, 3] END)::BIGINT AS n FROM (SELECT path, len(string_split(raw, E'\\n')) AS n FROM f WHERE title IS NOT NULL)"""
+            unnest(CASE WHEN n > 4 THEN [2, 1, 3] ELSE [n, 3] END)::BIGINT AS n FROM (SELECT path, len(string_split(body, E'\\n')) AS n FROM f WHERE title IS NOT NULL)"""
 )
 def diff_lines(t):
     """Numbers of lines kept around the three that are added at the end of a text, and of gaps."""

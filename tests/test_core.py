@@ -219,7 +219,9 @@ def test_line_diff():
     assert d == [("gap", "17"), ("equal", "17"), ("equal", "18"), ("del", "19"), ("add", "x")]
     own = lambda x: D.collapse([("equal" if c == "." else "add", c) for c in x])
     assert [o[0] + t for o, t in own("......+......+....+.....")] == ["g4", "e.", "e.", "a+", "e.", "e.", "g2", "e.", "e.", "a+", "e.", "e.", "e.", "e.", "a+", "e.", "e.", "g3"]
-    assert len(D.line_diff("a\n" * 2000, "b\n" * 2000)) == 4001
+    assert D.line_diff("x\ny", "y\ny") == [("del", "x"), ("equal", "y"), ("add", "y")]  # equal as early as it goes
+    # beyond the guard nothing is compared, equal lines neither
+    assert len(D.line_diff("a\n" * 2000, "b\n" * 2000)) == 4002
 
 
 def test_state_diff(spark):
@@ -227,7 +229,7 @@ def test_state_diff(spark):
     b = corpus_of(spark, a=NOTE.format("A2", "x"), b=NOTE.format("B", "[a](/a.md) [n](n.md)"), new="y", index="j")
     d = D.file_diff(a, b)
     assert {(r.path, r.change) for r in d.collect()} == {("a.md", "modified"), ("b.md", "modified"), ("gone.md", "removed"), ("new.md", "added"), ("index.md", "modified")}
-    assert {r.change: r.n for r in D.stats(d).collect()} == {"modified": 2, "removed": 1, "added": 1} and D.with_lines(d).count() == 2
+    assert {r.change: r.n for r in D.stats(d).collect()} == {"modified": 2, "removed": 1, "added": 1} and D.with_lines(d).count() == 4
     assert [(r.path, r.field, r.before, r.after) for r in D.field_changes(parse_files(a), parse_files(b)).collect()] == [("a.md", "title", "A", "A2")]
     assert [tuple(r) for r in D.link_changes(L.out_links(parse_files(a)), L.out_links(parse_files(b))).collect()] == [("b.md", "n.md", "added")]
     merged = {r.path: r.conflict for r in D.three_way(a, b, a.filter("path <> 'gone.md'")).collect()}
