@@ -291,7 +291,7 @@ def check_page(t):
 )
 def workspace_status(t):
     counted = {
-        "concepts": t.concepts,
+        "concepts": t.concepts.select("path").distinct(),
         "links": t.links.filter("dst IS NOT NULL").select("src", "dst").distinct(),
         "orphans": L.orphans(t.links, t.files),
         "dangling": L.dangling(t.links, t.files),
